@@ -1,6 +1,6 @@
 """All registered queries over the driver's tables, with their SQL."""
 
-from __future__ import annotations
+from waymark.plans import decode, texts, times  # noqa: F401  (registers)
+from waymark.plans.registry import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]
