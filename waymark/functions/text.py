@@ -154,7 +154,7 @@ def looped(text: pd.Series) -> pd.Series:
 
 
 def hallucinated(text: Column, whole: list[str], parts: list[str]) -> Column:
-    bare_text = F.trim(F.lit(" .!؟?،,"), text)
+    bare_text = F.trim(text, F.lit(" .!؟?،,"))
     hit = bare_text.isin(whole) if whole else F.lit(False)
     for p in parts:
         hit = hit | F.contains(text, F.lit(p))
