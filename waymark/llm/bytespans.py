@@ -32,6 +32,7 @@ from waymark.llm import suffixes
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPANS)])
+BLOCK_BYTES = 2 << 20  # a byte needs several eight-byte numbers while seeds are picked
 _BYTE = G.mix(G.constants(256, 41))
 
 
@@ -170,7 +171,7 @@ def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: st
     """
     if not 0 < seed <= size:
         raise ValueError("seed must be between 1 and size")
-    blocks = B.build(docs, id_col, text_col)
+    blocks = B.build(docs, id_col, text_col, BLOCK_BYTES)
     n_buckets = B.buckets_for(blocks)
 
     def seeds(block: B.Block):
