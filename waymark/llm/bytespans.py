@@ -53,7 +53,7 @@ class _Seeds:
         else:
             hashes = np.zeros(0, G.U)
         self.at, self.lo, self.hi = G.anchors(hashes, size - seed + 1, starts)
-        key = hashes[self.at] if len(self.at) else hashes
+        key = G.spread(hashes[self.at] if len(self.at) else hashes)
         self.order = np.argsort(key, kind="stable")
         new = np.ones(len(key), bool)
         new[1:] = key[self.order][1:] != key[self.order][:-1]

@@ -26,6 +26,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def spread(x: np.ndarray) -> np.ndarray:
+    """Hashes hashed again: those picked for being small would all fall into the first buckets."""
+    return mix(x ^ U(0xA5A5A5A5A5A5A5A5))
+
+
 def constants(n: int, family: int) -> np.ndarray:
     """Odd 64-bit constants number 0 to n-1 of a family."""
     return mix(np.arange(n, dtype=U) * U(0x9E3779B97F4A7C15) + U(family * 0x632BE59BD9B4E019 % 2**64)) | U(1)

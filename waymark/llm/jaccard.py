@@ -308,6 +308,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     def prefixes(block: B.Block):
         s = Sets(block, k)
         gram, doc, rank = _prefixes(s, s.leaders(), heavy, percent)
+        gram = G.spread(gram)
         order = np.argsort(gram, kind="stable")
         gram, doc, rank = gram[order], doc[order], rank[order]
         edge = B.bounds(gram, n_buckets)

@@ -42,7 +42,7 @@ class _Seeds:
         hashes = G.grams(w.hashes[0], seed, 0)
         at, self.lo, self.hi = G.anchors(hashes, window - seed + 1, starts)
         self.doc = w.doc[at] if len(at) else at
-        key = hashes[at]
+        key = G.spread(hashes[at])
         self.spans = (G.Spans(w.hashes[0], 0), G.Spans(w.hashes[1], 1))
         span = G.mix(self.spans[1].hash(self.lo, self.hi + window) + (at - self.lo).astype(G.U))
         self.own = self.ids[self.doc]
