@@ -10,8 +10,9 @@ Documents are sets of word `k`-grams (A-Z in lower case). Two of them link when
    hold these prefixes. Documents with equal sets are one class with one representative from
    here on. A short posting list gives its passing pairs; a long one (a group of near copies) first links all to one
    centre; only what its components leave apart is compared later.
-3. Vertical partitioning. The order is cut into fragments. Each fragment of each candidate set goes to a cell
-   (group of pairs, fragment) of its own; the cell counts partial overlaps; partial overlaps are summed per pair.
+3. Vertical partitioning. Candidate pairs are dealt to cells, with each set a cell needs once. The order is cut into
+   fragments; a cell counts partial overlaps in one fragment after the other with an inverted index, sums them per
+   pair, and drops pairs that the remaining fragments cannot save.
 4. Links are closed to components. Copies get their representative's component.
 """
 
@@ -32,7 +33,8 @@ from waymark.llm.scratch import materialize
 FRAGMENTS = 4
 HEAVY = 1 / 500
 SHORT_LIST = 24
-PAIRS_PER_CELL = 20_000
+PAIRS_PER_CELL = 4_000
+SLICE = 4_000
 PREFIX_TEXT = 40 << 20
 
 
@@ -100,17 +102,13 @@ def _prefixes(s: Sets, docs: np.ndarray, heavy: np.ndarray, percent: int) -> tup
     return gram[keep], doc[keep], rank[keep]
 
 
-def _pairs_of_list(node: np.ndarray, size: np.ndarray, rank: np.ndarray, percent: int, label: np.ndarray | None = None):
-    """All passing pairs of one posting list; with labels, of different labels only."""
+def _pairs_of_list(node: np.ndarray, size: np.ndarray, rank: np.ndarray, percent: int):
+    """All passing pairs of one short posting list."""
     order = np.lexsort((node, size))
     node, size, rank = node[order], size[order], rank[order]
-    label = None if label is None else label[order]
     for a in range(len(node) - 1):
         b = slice(a + 1, int(np.searchsorted(size, size[a] * 100 // percent, "right")))
-        ok = passes(size[a], size[b], rank[a], rank[b], percent)
-        if label is not None:
-            ok &= label[b] != label[a]
-        other = node[b][ok]
+        other = node[b][passes(size[a], size[b], rank[a], rank[b], percent)]
         if len(other):
             yield np.minimum(node[a], other), np.maximum(node[a], other)
 
@@ -171,18 +169,61 @@ def unpack_pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def _overlaps(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (x, y) -> those that link, by partial overlaps of fragments."""
-    spark = pairs.sparkSession
-    count = pairs.count()
-    if not count:
-        return spark.createDataFrame([], "x long, y long")
-    cells = max(1, -(-count // PAIRS_PER_CELL))
-    # a centre with very many partners is salted over several cells
-    degree = pairs.groupBy(F.col("x").alias("_x")).agg(F.ceil(F.count("*") / (PAIRS_PER_CELL // 4)).cast("int").alias("_salt"))
-    celled = pairs.join(degree, F.col("x") == F.col("_x")).select("x", "y", F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("_salt"))), F.lit(cells)).cast("int").alias("cell"))
-    celled = materialize(celled, "pairs")
-    wanted = celled.select(F.col("x").alias("_n"), "cell").union(celled.select(F.col("y").alias("_n"), "cell")).distinct()
+class Cell:
+    """Sets of one cell, cut into fragments of the global order; partial overlaps come from a fragment's inverted index."""
+
+    def __init__(self, payloads: list[bytes]):
+        got = [B.unpack(p) for p in payloads]
+        node, size, count = (np.concatenate([g[i] for g in got]) for i in range(3))
+        gram = np.concatenate([g[3] for g in got])
+        self.order = np.argsort(node)
+        self.node, self.size = node, size.astype(np.int64)
+        self.first = np.concatenate(([0], np.cumsum(count)))
+        every, self.number = np.unique(gram, return_inverse=True)  # numbered in hash order, so fragments are ranges
+        owner = np.repeat(np.arange(len(node)), count)
+        by_gram = np.argsort(self.number, kind="stable")
+        self.holders = owner[by_gram]
+        self.at = np.searchsorted(self.number[by_gram], np.arange(len(every) + 1))
+        step = 2**64 // FRAGMENTS
+        self.edges = np.searchsorted(every, np.array([f * step for f in range(FRAGMENTS)], dtype=G.U)).tolist() + [len(every)]
+
+    def index(self, nodes: np.ndarray) -> np.ndarray:
+        return self.order[np.searchsorted(self.node, nodes, sorter=self.order)]
+
+    def links(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of `others` that link with x: overlaps summed fragment by fragment, hopeless pairs dropped in between."""
+        own = self.number[self.first[x] : self.first[x + 1]]
+        need = -(-(self.size[x] + self.size[others]) * percent // (100 + percent))
+        total = np.zeros(len(others), np.int64)
+        for f in range(FRAGMENTS):
+            lo, hi = np.searchsorted(own, self.edges[f : f + 2])
+            g = own[lo:hi]
+            n = self.at[g + 1] - self.at[g]
+            ends = np.cumsum(n)
+            if len(g):
+                places = np.repeat(self.at[g] - (ends - n), n) + np.arange(ends[-1])
+                total += np.bincount(self.holders[places], minlength=len(self.node))[others]
+            alive = total + (len(own) - hi) >= need
+            if not alive.all():
+                others, total, need = others[alive], total[alive], need[alive]
+                if not len(others):
+                    break
+        return others[total >= need]
+
+
+class Forest:
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, a: int) -> int:
+        while self.root[a] != a:
+            self.root[a] = self.root[self.root[a]]
+            a = self.root[a]
+        return a
+
+
+def _sent(blocks: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted (_n, cell), distinct -> the sets of these nodes, one payload per block and cell."""
     requests = wanted.join(nodes, F.col("_n") == F.col("node")).select("block", F.col("cell").alias("bucket"), F.col("node").cast("string").cast("binary").alias("payload"))
 
     def segments(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -195,56 +236,50 @@ def _overlaps(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, per
         for cell, node in zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True):
             by_cell.setdefault(cell, []).append(where[int(node)])
         rows = []
-        step = 2**64 // FRAGMENTS
         for cell, docs in by_cell.items():
-            for f in range(FRAGMENTS):
-                parts = []
-                for i in docs:
-                    own = s.gram[s.first[i] : s.first[i + 1]]  # sorted by hash
-                    a = np.searchsorted(own, G.U(f * step))
-                    b = len(own) if f == FRAGMENTS - 1 else np.searchsorted(own, G.U((f + 1) * step))
-                    parts.append(own[a:b])
-                sizes = np.array([len(p) for p in parts])
-                rows.append((cell * FRAGMENTS + f, block, B.pack(s.node[docs], s.size[docs], sizes, np.concatenate(parts))))
+            parts = [s.gram[s.first[i] : s.first[i + 1]] for i in docs]
+            rows.append((cell, block, B.pack(s.node[docs], s.size[docs], np.array([len(x) for x in parts]), np.concatenate(parts))))
         return pa.Table.from_batches([B._batch(rows)] if rows else [], schema=B._SCHEMA)
 
+    return B._joined(blocks, requests, segments, B.MESSAGE)
+
+
+_LINKS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (x, y) -> links enough to connect what the linking pairs connect."""
+    pairs = materialize(pairs, "pairs")
+    cells = max(1, -(-pairs.count() // PAIRS_PER_CELL))
+    # a centre with very many partners is salted over several cells
+    degree = pairs.groupBy(F.col("x").alias("_x")).agg(F.ceil(F.count("*") / (PAIRS_PER_CELL // 4)).cast("int").alias("_salt"))
+    celled = pairs.join(degree, F.col("x") == F.col("_x")).select("x", "y", F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("_salt"))), F.lit(cells)).cast("int").alias("cell"))
+    wanted = celled.select(F.col("x").alias("_n"), "cell").union(celled.select(F.col("y").alias("_n"), "cell")).distinct()
+
     def count_cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("shared", pa.int64())])
         if not len(left) or not len(right):
-            return out.empty_table()
-        got = [B.unpack(p.as_py()) for p in right.column("payload")]
-        node, size, part = (np.concatenate([g[i] for g in got]) for i in range(3))
-        gram = np.concatenate([g[3] for g in got])
-        first = np.concatenate(([0], np.cumsum(part)))
-        _, gram = np.unique(gram, return_inverse=True)
-        owner = np.repeat(np.arange(len(node)), part).astype(np.int64)
-        keys = np.sort(owner << 32 | gram)
-        order = np.argsort(node)
-        x, y = left.column("x").to_numpy(), left.column("y").to_numpy()
-        a, b = (order[np.searchsorted(node[order], v)] for v in (x, y))
-        shared = np.zeros(len(x), np.int64)
-        step = 500
-        for at in range(0, len(x), step):
-            own = slice(at, at + step)
-            n = part[b[own]]
-            begin = np.cumsum(n) - n
-            grams_of_y = gram[np.repeat(first[b[own]] - begin, n) + np.arange(n.sum())]
-            ask = np.repeat(a[own], n).astype(np.int64) << 32 | grams_of_y
-            hit = keys[np.minimum(np.searchsorted(keys, ask), len(keys) - 1)] == ask if len(keys) else np.zeros(0, bool)
-            sums = np.concatenate(([0], np.cumsum(hit)))
-            shared[own] = sums[begin + n] - sums[begin]
-        return pa.table([x, y, size[a].astype(np.int64), size[b].astype(np.int64), shared], schema=out)
-
-    pieces = B._joined(blocks, requests, segments, B.MESSAGE)
-    fragment = F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))
-    by_cell = celled.withColumn("_f", fragment).select((F.col("cell") * FRAGMENTS + F.col("_f")).cast("int").alias("bucket"), "x", "y")
-    partial = by_cell.groupBy("bucket").cogroup(pieces.groupBy("bucket")).applyInArrow(count_cell, "x long, y long, n long, m long, shared long")
-    total = partial.groupBy("x", "y").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
-    return total.filter(F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * percent).select("x", "y")
-
-
-def _left_apart(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Passing pairs of long lists between different components."""
+            return _LINKS.empty_table()
+        cell = Cell([p.as_py() for p in right.column("payload")])
+        x, y = (cell.index(left.column(c).to_numpy()) for c in ("x", "y"))
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        out: list[tuple[int, int]] = []
+        cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist() + [len(x)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            for other in cell.links(int(x[a]), y[a:b], percent).tolist():
+                out.append((cell.node[x[a]], cell.node[other]))
+        return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], schema=_LINKS)
+
+    sent = _sent(blocks, nodes, wanted, k)
+    return celled.groupBy("cell").cogroup(sent.withColumn("cell", F.col("bucket")).groupBy("cell")).applyInArrow(count_cell, "x long, y long")
+
+
+def _left_apart(lists: DataFrame, found: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components inside long lists.
+
+    Lists of one group of near copies go to one cell, which holds each set once and compares only what is
+    not yet connected there; it returns a spanning forest. A group beyond `SLICE` sets is dealt to tiles of two slices each.
+    """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,17 +288,57 @@ def _left_apart(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), number), pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rank, pa.int64())], ["list", "_n", "size", "rank"])
 
     rows = lists.select("list", "payload").mapInArrow(members, "list long, _n long, size long, rank long")
-    labelled = rows.join(found, F.col("_n") == F.col("node"), "left").select("list", "_n", "size", "rank", F.coalesce("component", "_n").alias("label"))
-    labelled = materialize(labelled, "labelled")
+    labelled = materialize(rows.join(found, F.col("_n") == F.col("node"), "left").select("list", "_n", "size", "rank", F.coalesce("component", "_n").alias("label")), "labelled")
     apart = labelled.groupBy("list").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a < _b").select(F.col("list").alias("_l"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, size, rank, label = (table.column(c).to_numpy() for c in ("_n", "size", "rank", "label"))
-        found = list(_pairs_of_list(node, size, rank, percent, label))
-        x, y = ([np.concatenate([f[i] for f in found]) for i in (0, 1)]) if found else (np.zeros(0, np.int64),) * 2
-        return pa.table({"x": x, "y": y})
-
-    return labelled.join(apart, F.col("list") == F.col("_l"), "left_semi").groupBy("list").applyInArrow(compare, "x long, y long").distinct()
+    rows = labelled.join(apart, F.col("list") == F.col("_l"), "left_semi")
+    # lists of a group share nearly all members: two steps of minimum labels give most of them one name
+    least = rows.groupBy(F.col("_n").alias("_m")).agg(F.min("list").alias("_least"))
+    group = rows.join(least, F.col("_n") == F.col("_m")).groupBy(F.col("list").alias("_l")).agg(F.min("_least").alias("group"))
+    rows = materialize(rows.join(group, F.col("list") == F.col("_l")).select("group", "list", "_n", "size", "rank", "label"), "apart")
+    slices = rows.groupBy(F.col("group").alias("_g")).agg(F.ceil(F.approx_count_distinct("_n") / SLICE).cast("int").alias("_s"))
+    dealt = rows.join(slices, F.col("group") == F.col("_g")).withColumn("_i", F.pmod(F.xxhash64("_n"), F.col("_s")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("_s") - 1), lambda j: F.struct(F.least(F.col("_i"), j).alias("p"), F.greatest(F.col("_i"), j).alias("q")))
+    dealt = dealt.withColumn("_t", F.explode(tiles)).withColumn("cell", F.xxhash64("group", "_t.p", "_t.q").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    dealt = dealt.select("cell", "list", "_n", "size", "rank", "label")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return _LINKS.empty_table()
+        cell = Cell([p.as_py() for p in right.column("payload")])
+        at, lists_, size, rank, label = (left.column(c).to_numpy() for c in ("_n", "list", "size", "rank", "label"))
+        at = cell.index(at)
+        forest = Forest(len(cell.node))
+        seen: dict[int, int] = {}
+        for i, c in zip(at.tolist(), label.tolist(), strict=True):  # what is connected already
+            forest.root[forest.find(i)] = forest.find(seen.setdefault(c, i))
+        order = np.lexsort((rank, size, lists_))
+        at, lists_, size, rank = at[order], lists_[order], size[order], rank[order]
+        cuts = np.flatnonzero(np.concatenate(([True], lists_[1:] != lists_[:-1]))).tolist() + [len(lists_)]
+        out: list[tuple[int, int]] = []
+        tried: dict[int, set[int]] = {}
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            roots = np.array([forest.find(i) for i in at[a:b].tolist()])
+            for i in range(a, b - 1):
+                last = int(np.searchsorted(size[a:b], size[i] * 100 // percent, "right")) + a
+                span = slice(i + 1, last)
+                ok = passes(size[i], size[span], rank[i], rank[span], percent) & (roots[i + 1 - a : last - a] != roots[i - a])
+                if not ok.any():
+                    continue
+                x = int(at[i])
+                done = tried.setdefault(x, set())
+                others = [j for j in at[span][ok].tolist() if j not in done and forest.find(j) != forest.find(x)]
+                if not others:
+                    continue
+                done.update(others)
+                for j in cell.links(x, np.array(others), percent).tolist():
+                    p, q = forest.find(x), forest.find(j)
+                    if p != q:
+                        forest.root[q] = p
+                        out.append((cell.node[x], cell.node[j]))
+        return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], schema=_LINKS)
+
+    sent = _sent(blocks, nodes, dealt.select("_n", "cell").distinct(), k)
+    return dealt.groupBy("cell").cogroup(sent.withColumn("cell", F.col("bucket")).groupBy("cell")).applyInArrow(compare, "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,12 +396,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     answers = materialize(B.answer(B.ask(blocks, prefixes), _lists(percent)), "lists")
     pairs = _pair_rows(answers.filter(F.col("block") == PAIRS)).distinct()
     nodes = described.filter("size > 0").groupBy("node").agg(F.min("block").alias("block"))
-    links = materialize(_overlaps(pairs, nodes, blocks, k, percent).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    links = materialize(_verify(pairs, nodes, blocks, k, percent), "links")
     lists = answers.filter(F.col("block") == LIST).withColumn("list", F.xxhash64("payload"))
     if lists.limit(1).count():
-        rest = materialize(_left_apart(lists, components(links), percent), "rest")
-        more = _overlaps(rest, nodes, blocks, k, percent)
-        links = links.unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        rest = _left_apart(lists, components(links.toDF("a", "b")), nodes, blocks, k, percent)
+        links = links.unionByName(materialize(rest, "rest"))
+    links = links.toDF("a", "b")
     # copies: equal sets share a class; its smallest node stood for it
     some = described.filter("size > 0")
     leader = some.groupBy("d0", "d1", "size").agg(F.min("node").alias("_lead"))
