@@ -2,9 +2,8 @@
 
 Documents are sets of word `k`-grams (A-Z in lower case). Two of them link when their Jaccard similarity reaches `percent`.
 
-1. Global order. n-grams that a notable share of documents hold come last, all others first, each
-   part by hash. (The list of frequent ones is bounded: `HEAVY` of the documents must hold each. It
-   shapes the order only, never the result.)
+1. Global order. n-grams that more than a few documents hold come last, all others first, each
+   part by hash. (The list of frequent ones is bounded, see `_frequent`. It shapes the order only, never the result.)
 2. Candidates. Sets that link share an n-gram among the first n - ceil(percent * n) + 1 of each, in that order,
    and the first they share lies early enough in both for the needed overlap (positional filter). Buckets of n-grams
    hold these prefixes. Documents with equal sets are one class with one representative from
@@ -31,7 +30,8 @@ from waymark.llm.components import components
 from waymark.llm.scratch import materialize
 
 FRAGMENTS = 4
-HEAVY = 1 / 500
+COUNTED = 0.45
+FREQUENT = 1 << 20
 SHORT_LIST = 24
 PAIRS_PER_CELL = 4_000
 SLICE = 4_000
@@ -93,7 +93,7 @@ def _prefixes(s: Sets, docs: np.ndarray, heavy: np.ndarray, percent: int) -> tup
     """(gram, doc, rank) of the prefixes of docs in the global order."""
     inside = np.isin(s.doc, docs)
     gram, doc = s.gram[inside], s.doc[inside]
-    late = np.isin(gram, heavy) if len(heavy) else np.zeros(len(gram), bool)
+    late = np.isin((gram >> G.U(32)).astype(np.uint32), heavy)
     order = np.lexsort((gram, late, doc))
     gram, doc = gram[order], doc[order]
     first = np.searchsorted(doc, np.arange(len(s.size) + 1))
@@ -341,6 +341,44 @@ def _left_apart(lists: DataFrame, found: DataFrame, nodes: DataFrame, blocks: Da
     return dealt.groupBy("cell").cogroup(sent.withColumn("cell", F.col("bucket")).groupBy("cell")).applyInArrow(compare, "x long, y long")
 
 
+def _frequent(blocks: DataFrame, k: int, n_buckets: int) -> np.ndarray:
+    """Upper halves of the hashes of n-grams that more than SHORT_LIST documents hold.
+
+    Only the share COUNTED of all hashes is counted, from below: prefixes take the smallest hashes, so they seldom reach beyond it. At
+    most FREQUENT of them, the most frequent of each bucket, come to the driver (four bytes each).
+    """
+    below = G.U(int(COUNTED * 2**64))
+
+    def halves(block: B.Block):
+        s = Sets(block, k)
+        lead = np.zeros(block.n, bool)
+        lead[s.leaders()] = True
+        half, df = np.unique((s.gram[lead[s.doc] & (s.gram < below)] >> G.U(32)).astype(np.uint32), return_counts=True)
+        edge = np.searchsorted(half, (np.arange(n_buckets + 1) * (float(below >> G.U(32)) + 1) / n_buckets).astype(np.uint64))
+        for bucket in np.flatnonzero(np.diff(edge)):
+            mine = slice(edge[bucket], edge[bucket + 1])
+            more = np.flatnonzero(df[mine] > 1)
+            yield int(bucket), B.pack(half[mine], more.astype(np.uint32), df[mine][more].astype(np.uint32))
+
+    def total(block_of: list[int], payloads: list[tuple]):
+        half = np.concatenate([p[0] for p in payloads])
+        df = np.concatenate([_filled(len(p[0]), p[1], p[2]) for p in payloads])
+        order, begin = G.groups(half)
+        sums = np.add.reduceat(df[order], begin)
+        often = np.flatnonzero(sums > SHORT_LIST)
+        often = often[np.argsort(-sums[often], kind="stable")][: FREQUENT // n_buckets]
+        yield 0, B.pack(half[order][begin][often])
+
+    found = B.answer(B.ask(blocks, halves), total).select("payload").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.uint32), *(B.unpack(r.payload)[0] for r in found)]))
+
+
+def _filled(n: int, where: np.ndarray, value: np.ndarray) -> np.ndarray:
+    out = np.ones(n, np.int64)
+    out[where] = value
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles (distinct word k-grams), component_id (the smallest doc_id reachable by links, itself included).
 
@@ -349,36 +387,21 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     never name a component (null when alone). One row per input row; other columns are ignored; an empty table gives no rows.
     """
     blocks = B.build(docs, id_col, text_col)
-    total = blocks.agg(F.sum("n_bytes"), F.sum("n_docs")).first()
-    n_docs = total[1] or 0
+    total = blocks.agg(F.sum("n_bytes")).first()
     n_buckets = max(8, -(-(total[0] or 0) // PREFIX_TEXT))
-    least = max(16, int(n_docs * HEAVY))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = B.Block(blob.as_py())
                 s = Sets(block, k)
-                lead = np.zeros(block.n, bool)
-                lead[s.leaders()] = True
-                gram, df = np.unique(s.gram[lead[s.doc]], return_counts=True)
-                often = df >= 4
-                heavy = B.pack(gram[often], df[often])
-                arrays = [pa.array(np.full(block.n, number), pa.int64()), block.ids.cast(pa.int64()), pa.array(s.node, pa.int64()), pa.array(s.size, pa.int64()), pa.array(s.digest[0].view(np.int64), pa.int64()), pa.array(s.digest[1].view(np.int64), pa.int64()), pa.array([heavy if i == 0 else None for i in range(block.n)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["block", "doc_id", "node", "size", "d0", "d1", "heavy"])
-
-    described = blocks.select("block", "blob").mapInArrow(describe, "block long, doc_id long, node long, size long, d0 long, d1 long, heavy binary")
-    described = materialize(described, "described")
+                arrays = [pa.array(np.full(block.n, number), pa.int64()), block.ids.cast(pa.int64()), pa.array(s.node, pa.int64()), pa.array(s.size, pa.int64()), pa.array(s.digest[0].view(np.int64), pa.int64()), pa.array(s.digest[1].view(np.int64), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "doc_id", "node", "size", "d0", "d1"])
 
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0):
-                gram, df = B.unpack(payload.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64), pa.int64()), pa.array(df, pa.int64())], ["gram", "df"])
+    described = blocks.select("block", "blob").mapInArrow(describe, "block long, doc_id long, node long, size long, d0 long, d1 long")
+    described = materialize(described, "described")
 
-    # at most (n-grams of all sets) / least rows, 8 bytes each; an order, not a result, depends on them
-    frequent = described.filter("heavy is not null").select("heavy").mapInArrow(often, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).filter(F.col("df") >= least)
-    heavy = np.sort(np.array([r[0] for r in frequent.orderBy(F.desc("df"), "gram").limit(1 << 20).select("gram").collect()], np.int64).view(G.U))
+    heavy = _frequent(blocks, k, n_buckets)
 
     def prefixes(block: B.Block):
         s = Sets(block, k)
