@@ -121,6 +121,12 @@ def test_mixing(docs, corpus, none):
     assert mixing.repeat_rows(docs, mixing.mix(docs)).groupBy().agg(F.sum(mixing.words_in(F.col("text")))).first()[0] == sum(taken.values())
 
 
+def test_mixing_with_salted_sources(docs, monkeypatch):
+    plain = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == plain
+
+
 def test_mixing_of_capped_and_empty_sources(spark):
     rows = spark.createDataFrame([(1, "a", "p"), (2, "b " * 50, "q"), (3, None, "r"), (4, "c " * 7, None), (None, "d", None)], "doc_id long, text string, source string")
     got = {r.source: r.target for r in mixing.mix(rows).collect()}

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from waymark.llm.scratch import materialize
 
 BITS, LEVELS = 13, 4  # 52 bits of MD5
+FEW_SOURCES, SALT = 100_000, 64  # rows of one line each that may be broadcast; beyond it, salts
 
 
 def words_in(text: Column) -> Column:
@@ -53,8 +54,20 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float =
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
-def thresholds(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs (source, size, h); wanted (source, remainder, less than the source's size) -> (source, bound).
+def _with_source(docs: DataFrame, sources: DataFrame, few: bool, more: Sequence[Column] = ()) -> DataFrame:
+    """docs (alias d) joined with one row per source (alias s): by broadcast if there are few, else each source's row SALT times, so that a hot source spreads over SALT keys."""
+    same = F.col("d.source").eqNullSafe(F.col("s.source"))
+    for condition in more:
+        same = same & condition
+    if few:
+        return docs.alias("d").join(F.broadcast(sources).alias("s"), same)
+    salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALT)))
+    copies = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long"))
+    return salted.alias("d").join(copies.alias("s"), same & (F.col("d._salt") == F.col("s._salt")))
+
+
+def thresholds(docs: DataFrame, wanted: DataFrame, few: bool = True) -> DataFrame:
+    """docs (doc_id, source, size, h); wanted (source, remainder, less than the source's size) -> (source, bound).
 
     Documents with h < bound sum to about the remainder. In each level's histogram the remainder ends in the
     first bucket whose running sum exceeds it; the next level splits that bucket only. At single hash values,
@@ -63,8 +76,8 @@ def thresholds(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     state = wanted.select("source", F.col("remainder").cast("double").alias("_need"), F.lit(0).cast("long").alias("_prefix"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        here = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.shiftright("d.h", shift + BITS) == F.col("s._prefix"))
-        sums = docs.alias("d").join(state.alias("s"), here).groupBy("s.source", "s._need", F.shiftright("d.h", shift).alias("_prefix")).agg(F.sum("d.size").alias("_sum"))
+        inside = F.shiftright("d.h", shift + BITS) == F.col("s._prefix")
+        sums = _with_source(docs, state, few, [inside]).groupBy("s.source", "s._need", F.shiftright("d.h", shift).alias("_prefix")).agg(F.sum("d.size").alias("_sum"))
         run = Window.partitionBy("source").orderBy("_prefix")
         sums = sums.withColumn("_upto", F.sum("_sum").over(run)).filter(F.col("_upto") > F.col("_need"))
         first = F.min_by(F.struct((F.col("_need") - (F.col("_upto") - F.col("_sum"))).alias("_need"), "_prefix", "_sum"), "_prefix")
@@ -86,9 +99,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0,
     plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeats), "targets")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("full", full).withColumn("remainder", F.col("target") - F.col("full") * F.col("source_size"))
-    bounds = thresholds(rows.filter("size > 0"), plan.filter("source_size > 0"))
+    few = plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    bounds = thresholds(rows.filter("size > 0"), plan.filter("source_size > 0"), few)
     plan = plan.alias("p").join(bounds.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")), "left").select("p.*", F.coalesce("b.bound", F.lit(0)).alias("bound"))
-    joined = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    joined = _with_source(rows, plan, few)
     taken = F.col("size") * (F.col("full") + F.when(F.col("h") < F.col("bound"), 1).otherwise(0))
     return joined.select("doc_id", "d.source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
