@@ -62,7 +62,7 @@ def _with_source(docs: DataFrame, sources: DataFrame, few: bool, more: Sequence[
     if few:
         return docs.alias("d").join(F.broadcast(sources).alias("s"), same)
     salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALT)))
-    copies = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long"))
+    copies = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     return salted.alias("d").join(copies.alias("s"), same & (F.col("d._salt") == F.col("s._salt")))
 
 
