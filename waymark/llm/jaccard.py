@@ -34,6 +34,8 @@ COUNTED = 0.45
 FREQUENT = 1 << 20
 SHORT_LIST = 24
 PAIRS_PER_CELL = 4_000
+GRAMS_PER_CELL = 4_000_000
+GRAMS_PER_FRAGMENT = 500_000
 SLICE = 4_000
 PREFIX_TEXT = 40 << 20
 
@@ -169,46 +171,92 @@ def unpack_pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
+class Part:
+    """The inverted index of one fragment of the global order over the sets of a cell."""
+
+    def __init__(self, gram: np.ndarray, first: np.ndarray, low: int, high: int):
+        inside = gram >= G.U(low)
+        if high < 2**64:
+            inside &= gram < G.U(high)
+        at = np.flatnonzero(inside)
+        self.first = np.searchsorted(at, first)
+        own = gram[at]
+        order = np.argsort(own, kind="stable")
+        ranked = own[order]
+        new = np.ones(len(own), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        self.number = np.empty(len(own), np.int32)
+        self.number[order] = np.cumsum(new) - 1
+        self.holders = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(self.first))[order]
+        self.at = np.append(np.flatnonzero(new), len(own))
+
+    def overlaps(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many n-grams of this fragment x shares with each of the others."""
+        g = self.number[self.first[x] : self.first[x + 1]]
+        if not len(g):
+            return np.zeros(len(others), np.int64)
+        n = self.at[g + 1] - self.at[g]
+        ends = np.cumsum(n)
+        places = np.repeat(self.at[g] - (ends - n), n) + np.arange(ends[-1])
+        return np.bincount(self.holders[places], minlength=len(self.first) - 1)[others]
+
+
 class Cell:
     """Sets of one cell, cut into fragments of the global order; partial overlaps come from a fragment's inverted index."""
 
-    def __init__(self, payloads: list[bytes]):
-        got = [B.unpack(p) for p in payloads]
-        node, size, count = (np.concatenate([g[i] for g in got]) for i in range(3))
-        gram = np.concatenate([g[3] for g in got])
-        self.order = np.argsort(node)
-        self.node, self.size = node, size.astype(np.int64)
-        self.first = np.concatenate(([0], np.cumsum(count)))
-        every, self.number = np.unique(gram, return_inverse=True)  # numbered in hash order, so fragments are ranges
-        owner = np.repeat(np.arange(len(node)), count)
-        by_gram = np.argsort(self.number, kind="stable")
-        self.holders = owner[by_gram]
-        self.at = np.searchsorted(self.number[by_gram], np.arange(len(every) + 1))
-        step = 2**64 // FRAGMENTS
-        self.edges = np.searchsorted(every, np.array([f * step for f in range(FRAGMENTS)], dtype=G.U)).tolist() + [len(every)]
+    def __init__(self, payloads: pa.ChunkedArray):
+        nodes, sizes, counts, grams = [], [], [], []
+        for payload in payloads:
+            node, size, count, gram = B.unpack(payload.as_py())
+            nodes.append(node)
+            sizes.append(size)
+            counts.append(count)
+            grams.append(gram)
+        self.node, self.size = np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
+        self.order = np.argsort(self.node)
+        self.first = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        self.gram = np.concatenate(grams)
+        self.fragments = max(FRAGMENTS, -(-len(self.gram) // GRAMS_PER_FRAGMENT))
+        self.kept: list[Part] = []
+
+    def part(self, f: int) -> Part:
+        return Part(self.gram, self.first, f * 2**64 // self.fragments, (f + 1) * 2**64 // self.fragments)
 
     def index(self, nodes: np.ndarray) -> np.ndarray:
         return self.order[np.searchsorted(self.node, nodes, sorter=self.order)]
 
+    def need(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        return -(-(self.size[x] + self.size[y]) * percent // (100 + percent))
+
+    def linking(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs (x ascending) link. One fragment is indexed at a time; its partial overlaps are added per pair."""
+        total, left, need = np.zeros(len(x), np.int64), self.size[x], self.need(x, y, percent)
+        alive = np.ones(len(x), bool)
+        cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist() + [len(x)]
+        for f in range(self.fragments):
+            part = self.part(f)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if alive[a:b].any():
+                    total[a:b] += part.overlaps(int(x[a]), y[a:b])
+            left = left - (part.first[x + 1] - part.first[x])
+            alive &= total + left >= need  # the others cannot be saved by the fragments that remain
+        return alive
+
     def links(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
-        """Those of `others` that link with x: overlaps summed fragment by fragment, hopeless pairs dropped in between."""
-        own = self.number[self.first[x] : self.first[x + 1]]
-        need = -(-(self.size[x] + self.size[others]) * percent // (100 + percent))
-        total = np.zeros(len(others), np.int64)
-        for f in range(FRAGMENTS):
-            lo, hi = np.searchsorted(own, self.edges[f : f + 2])
-            g = own[lo:hi]
-            n = self.at[g + 1] - self.at[g]
-            ends = np.cumsum(n)
-            if len(g):
-                places = np.repeat(self.at[g] - (ends - n), n) + np.arange(ends[-1])
-                total += np.bincount(self.holders[places], minlength=len(self.node))[others]
-            alive = total + (len(own) - hi) >= need
+        """Those of `others` that link with x, for callers that choose pairs as they go: the indexes of all fragments are kept."""
+        if not self.kept:
+            self.kept = [self.part(f) for f in range(self.fragments)]
+            self.gram = self.gram[:0]
+        need, total, left = self.need(np.int64(x), others, percent), np.zeros(len(others), np.int64), self.size[x]
+        for part in self.kept:
+            total += part.overlaps(x, others)
+            left = left - (part.first[x + 1] - part.first[x])
+            alive = total + left >= need
             if not alive.all():
                 others, total, need = others[alive], total[alive], need[alive]
                 if not len(others):
                     break
-        return others[total >= need]
+        return others
 
 
 class Forest:
@@ -250,25 +298,33 @@ _LINKS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 def _verify(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs (x, y) -> links enough to connect what the linking pairs connect."""
     pairs = materialize(pairs, "pairs")
-    cells = max(1, -(-pairs.count() // PAIRS_PER_CELL))
-    # a centre with very many partners is salted over several cells
-    degree = pairs.groupBy(F.col("x").alias("_x")).agg(F.ceil(F.count("*") / (PAIRS_PER_CELL // 4)).cast("int").alias("_salt"))
-    celled = pairs.join(degree, F.col("x") == F.col("_x")).select("x", "y", F.pmod(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.col("_salt"))), F.lit(cells)).cast("int").alias("cell"))
+    both = pairs.select(F.col("x").alias("_n"), F.col("y").alias("_o")).union(pairs.select(F.col("y").alias("_n"), F.col("x").alias("_o")))
+    least = both.groupBy("_n").agg(F.min("_o").alias("_m")).join(nodes, F.col("_n") == F.col("node"))
+    least = materialize(least.select("_n", F.least("_n", "_m").alias("label"), "size"), "least")
+    n_pairs, n_grams = pairs.count(), least.agg(F.sum("size")).first()[0] or 0
+    cells = max(1, -(-n_pairs // PAIRS_PER_CELL), -(-n_grams // GRAMS_PER_CELL))
+    # pairs around one smallest neighbour go to one cell, so that a set is sent to few cells; larger groups are dealt
+    # by x, and an x with very many partners is salted over several cells
+    left, right = (least.select(F.col("_n").alias(f"_{c}"), F.col("label").alias(f"l{c}"), F.col("size").alias(f"s{c}")) for c in "xy")
+    named = pairs.join(left, F.col("x") == F.col("_x")).join(right, F.col("y") == F.col("_y")).select("x", "y", F.least("lx", "ly").alias("label"), "sy")
+    named = materialize(named, "named")
+    load = F.greatest(F.count("*") / (PAIRS_PER_CELL // 4), F.sum("sy") / (GRAMS_PER_CELL // 4))
+    large = named.groupBy(F.col("label").alias("_l")).agg(load.alias("_load")).filter("_load > 1").select("_l")
+    degree = named.groupBy(F.col("x").alias("_x")).agg(F.ceil(load).cast("int").alias("_salt")).filter("_salt > 1")
+    dealt = named.join(large, F.col("label") == F.col("_l"), "left").join(degree, F.col("x") == F.col("_x"), "left")
+    key = F.when(F.col("_l").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("x", F.pmod(F.xxhash64("y"), F.coalesce("_salt", F.lit(1)))))
+    celled = dealt.select("x", "y", F.pmod(key, F.lit(cells)).cast("int").alias("cell"))
     wanted = celled.select(F.col("x").alias("_n"), "cell").union(celled.select(F.col("y").alias("_n"), "cell")).distinct()
 
     def count_cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return _LINKS.empty_table()
-        cell = Cell([p.as_py() for p in right.column("payload")])
+        cell = Cell(right.column("payload"))
         x, y = (cell.index(left.column(c).to_numpy()) for c in ("x", "y"))
         order = np.argsort(x, kind="stable")
         x, y = x[order], y[order]
-        out: list[tuple[int, int]] = []
-        cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist() + [len(x)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            for other in cell.links(int(x[a]), y[a:b], percent).tolist():
-                out.append((cell.node[x[a]], cell.node[other]))
-        return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], schema=_LINKS)
+        found = cell.linking(x, y, percent)
+        return pa.table([pa.array(cell.node[i[found]], pa.int64()) for i in (x, y)], schema=_LINKS)
 
     sent = _sent(blocks, nodes, wanted, k)
     return celled.groupBy("cell").cogroup(sent.withColumn("cell", F.col("bucket")).groupBy("cell")).applyInArrow(count_cell, "x long, y long")
@@ -304,7 +360,7 @@ def _left_apart(lists: DataFrame, found: DataFrame, nodes: DataFrame, blocks: Da
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return _LINKS.empty_table()
-        cell = Cell([p.as_py() for p in right.column("payload")])
+        cell = Cell(right.column("payload"))
         at, lists_, size, rank, label = (left.column(c).to_numpy() for c in ("_n", "list", "size", "rank", "label"))
         at = cell.index(at)
         forest = Forest(len(cell.node))
@@ -418,7 +474,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
     answers = materialize(B.answer(B.ask(blocks, prefixes), _lists(percent)), "lists")
     pairs = _pair_rows(answers.filter(F.col("block") == PAIRS)).distinct()
-    nodes = described.filter("size > 0").groupBy("node").agg(F.min("block").alias("block"))
+    nodes = described.filter("size > 0").groupBy("node").agg(F.min("block").alias("block"), F.max("size").alias("size"))
     links = materialize(_verify(pairs, nodes, blocks, k, percent), "links")
     lists = answers.filter(F.col("block") == LIST).withColumn("list", F.xxhash64("payload"))
     if lists.limit(1).count():
