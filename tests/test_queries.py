@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 import __spark_entry__ as entry
+from waymark.operators import tracker
 
 
 def _edits(a, b):
@@ -40,3 +43,18 @@ def test_error_rate_counts_whole_texts(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
     whole = entry.oracle_sql()["error_rate"].replace("substr(b, 1, 200)", "b").replace("substr(d, 1, 200)", "d")
     assert "200" not in whole and con.execute(whole).fetchone() == (got.edits, got.letters)
+
+
+def test_passages_past_the_first_200_are_followed(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, _prose(rnd, 9)) for i in range(204)]
+    sf = _write(spark, tmp_path, benchmark=(rows, "item_id long, text string"))
+    got = entry.queries()["follow_passages"](spark, sf).filter("t = 9").collect()
+    assert len(got) == 204 and [r.rec for r in got if r.text not in (r.rec, None)] == []
+    assert {r.rec: r.text for r in got if int(r.rec) >= 200} == {str(i): str(i) for i in range(200, 204)}
+
+
+def test_an_index_too_large_is_refused_before_it_is_collected():
+    tracker.check_size(32 << 20)
+    with pytest.raises(ValueError):
+        tracker.check_size((32 << 20) + 1)

@@ -158,13 +158,18 @@ class Tracker:
         return out
 
 
+def check_size(letters: int) -> None:
+    """Refuses an index of more than 256 MB, at eight bytes a letter."""
+    if 8 * letters > 256 << 20:
+        raise ValueError("the reference corpus is too large to hold in each worker")
+
+
 POSITION = "rec string, t double, text string, line int, word int, confidence double"
 
 
 def follow(windows: DataFrame, index: Index, settings: Settings = Settings()) -> DataFrame:
     """windows (rec, t, fragment: normalised words) -> a position per window. The index must be small: its size is checked before it travels."""
-    if index.letters.nbytes > 256 << 20:
-        raise ValueError("the reference corpus is too large to hold in each worker")
+    check_size(len(index.letters))
     shared = windows.sparkSession.sparkContext.broadcast(index)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -36,7 +36,9 @@ def snap_passages(t):
 @query()
 def follow_passages(t):
     """The tracker over the benchmark passages as corpus; each passage is recited as windows of five words, one a second."""
-    rows = t.benchmark.select("item_id", X.normalize_latin(F.col("text")).alias("x")).orderBy("item_id").limit(200).collect()
+    texts = t.benchmark.select("item_id", X.normalize_latin(F.col("text")).alias("x"))
+    tracker.check_size(texts.agg(F.sum(F.length(F.translate("x", " ", "")))).first()[0] or 0)
+    rows = texts.orderBy("item_id").collect()
     index = tracker.Index([str(r.item_id) for r in rows], [[(1, r.x)] for r in rows])
     ws = X.words(X.normalize_latin(F.col("text")))
     windows = t.benchmark.select(F.col("item_id").cast("string").alias("rec"), F.posexplode(ws).alias("i", "_w"), ws.alias("ws"))
