@@ -23,7 +23,7 @@ def _table(spark, sf_dir, name):
 
 
 def op1_lm_scoring(spark, sf_dir):
-    scored = lmscore.stupid_backoff(_table(spark, sf_dir, "documents"))
+    scored = lmscore.stupid_backoff(_table(spark, sf_dir, "documents"), order=3)
     return scored.select("doc_id", "n_words", "n_backoffs", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
