@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from waymark.llm import packing, queries
+from waymark.llm.queries import tokenizer_path
 
 
 def test_registered_lm_scoring_uses_trigrams(spark, tmp_path):
@@ -28,3 +29,15 @@ def test_registered_lm_scoring_uses_trigrams(spark, tmp_path):
     for i, x in texts.items():
         w = x.split()
         assert abs(got[i] - sum(score(tuple(w[max(0, j - 2) : j + 1])) for j in range(len(w)))) < 1e-5
+
+
+def test_sequences_hold_every_row(spark):
+    """Repeated ids, with one text or several, and rows without an id; one text is cut into pieces."""
+    rows = [(1, "one two three"), (1, "one two three"), (1, "quite another text"), (None, "no id"), (None, "no id"), (None, "none either"), (2, "x y z " * 2000), (2, "x y z " * 2000), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = packing.pieces(docs, tokenizer_path(), with_ids=True).collect()
+    made = packing.sequences(docs, tokenizer_path()).collect()
+    assert sum(r.n_tokens for r in made) == sum(r.length for r in cut)
+    assert all(len(r.ids) == 4 * r.n_tokens <= 4 * 2048 for r in made)
+    held = collections.Counter(x for r in made for x in np.frombuffer(r.ids, "<u4").tolist())
+    assert held == collections.Counter(x for r in cut for x in np.frombuffer(r.ids, "<u4").tolist())

@@ -251,8 +251,9 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The training sequences themselves: (sequence_id, n_tokens, ids as little-endian unsigned 32-bit integers)."""
-    cut_pieces = materialize(pieces(docs, tokenizer, capacity, with_ids=True), "pieces")
-    placed = assign(cut_pieces.drop("ids"), capacity).dropDuplicates(["doc_id", "piece"])
-    joined = placed.join(cut_pieces.select("doc_id", "piece", "ids").dropDuplicates(["doc_id", "piece"]), ["doc_id", "piece"])
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text")), "rows")
+    cut_pieces = materialize(pieces(numbered, tokenizer, capacity, id_col="row", with_ids=True), "pieces")
+    placed = assign(cut_pieces.drop("ids"), capacity)  # doc_id is the row's number: it names one row, whatever ids repeat or are missing
+    joined = placed.join(cut_pieces.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
     packed = joined.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     return packed.select("sequence_id", "n_tokens", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x.ids)).alias("ids"))
