@@ -5,7 +5,7 @@ import collections
 import numpy as np
 from pyspark.sql import functions as F
 
-from waymark.llm import packing, queries
+from waymark.llm import mixing, packing, queries
 from waymark.llm.queries import tokenizer_path
 
 
@@ -41,3 +41,24 @@ def test_sequences_hold_every_row(spark):
     assert all(len(r.ids) == 4 * r.n_tokens <= 4 * 2048 for r in made)
     held = collections.Counter(x for r in made for x in np.frombuffer(r.ids, "<u4").tolist())
     assert held == collections.Counter(x for r in cut for x in np.frombuffer(r.ids, "<u4").tolist())
+
+
+def test_repeated_and_null_ids_are_mixed_row_by_row(spark):
+    rows = [(i, f"{i} " + "w " * (i % 7), "big") for i in range(60)]
+    rows += [(1, "another text of one", "big"), (1, "a third", "small"), (1, " \n", "small"), (100, "four words of it", "small"), (100, "two words", "small"), (101, None, "small")]
+    rows += [(None, "no id here", "small"), (None, "nor here", "small"), (None, "nor in this source", None), (None, "", "small"), (None, "no id here", "big")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = mixing.mix(docs).collect()
+    got = mixing.repeat_rows(docs, mixing.mix(docs))
+    assert got.columns == docs.columns
+    times = {(r.doc_id, r.source): r.taken // r.size for r in mixed if r.size}
+    want = collections.Counter()
+    for i, text, source in rows:
+        if (text or "").split():
+            want[i, text, source] += times[i, source]
+    assert collections.Counter(map(tuple, got.collect())) == +want
+    taken = got.groupBy("source").agg(F.sum(mixing.words_in(F.col("text"))).alias("n")).collect()
+    sums = collections.Counter()
+    for r in mixed:
+        sums[r.source] += r.taken
+    assert {r.source: r.n for r in taken} == dict(+sums) and any(r.doc_id is None and r.taken for r in mixed)

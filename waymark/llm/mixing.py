@@ -107,11 +107,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0,
     return joined.select("doc_id", "d.source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each document as often as the mix takes it. Ids must be unique."""
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    counts = mixed.select(F.col("doc_id").alias("_id"), times.alias("_times")).filter("_times > 0")
-    joined = docs.join(counts, F.col(id_col).cast("long") == F.col("_id"))
+def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each document as often as the mix takes it, rows that repeat an id and rows without one too.
+
+    How often is the same for all rows with words of one id and source, so one count for each such pair serves them all.
+    """
+    times = (F.col("taken") / F.col("size")).cast("int")
+    counts = mixed.filter("size > 0 and taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), times.alias("_times")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
+    joined = docs.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).join(counts, same)
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
 
 
