@@ -4,8 +4,8 @@ A byte goes when a string of `size` bytes that covers it also starts anywhere el
 the corpus, the same document included. Each such string picks, by winnowing, one seed of
 `seed` bytes inside it; equal strings pick it at the same place. So:
 
-1. seeds that occur once in the corpus drop out (round one, hashes only: a hash routes
-   and filters, it never decides that strings are equal);
+1. seeds that occur once in the corpus drop out (round one, hashes only). Across blocks, seeds with
+   equal 64-bit hashes count as equal; their bytes are not compared;
 2. for the others, blocks send the bytes left and right of the seed that its strings span,
    equal contexts of a block once. In the bucket of the seed, deep-shallow sorting
    (`suffixes.sort`) builds two suffix arrays with their common prefixes: of the bytes to
