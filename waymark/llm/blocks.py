@@ -44,6 +44,16 @@ def unpack(payload: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
 
 
+def planes(ordered: np.ndarray) -> np.ndarray:
+    """Ascending uint64 numbers as the eight byte planes of their steps: high planes are zero and vanish in `pack`."""
+    steps = np.diff(ordered, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unplanes(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
 def bounds(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted uint64 keys; buckets are equal key ranges."""
     step = np.arange(n_buckets + 1, dtype=object) * (1 << 64) // n_buckets

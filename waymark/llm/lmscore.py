@@ -6,10 +6,17 @@ count(word) / all words. The model holds unigrams and the n-grams that occur at
 `min_count` times (the usual pruning; without it no n-gram of a corpus scored by
 its own counts could ever back off).
 
-Plan: blocks explode their n-grams of all orders; each n-gram leaves its block once, with
-its count there, for the count table, which is partitioned by n-gram hash; the table sums
-counts over blocks and the total joins back to the asking block, where each occurrence takes
-its log score and scores are summed per document. Frequent n-grams are one row per block.
+Plan, over blocks of documents (`blocks`), which explode their n-grams of all orders:
+
+1. Which n-grams occur twice anywhere? Blocks send short fingerprints of their distinct n-grams, some bits more than the
+   corpus has words; a fingerprint that comes from one place only belongs to an n-gram of count one. It is not in the model
+   and is nobody's context that matters, as a known n-gram's context occurs at least as often as itself. Exact: two
+   n-grams with one fingerprint are both asked for.
+2. The others, with their counts in the block, go to the count table, which is partitioned by n-gram hash (64 bits, and 32
+   more as a check). It sums counts over blocks, and totals join back to the asking block.
+3. Each occurrence takes its log score; scores are summed per document.
+
+An n-gram leaves a block once, so frequent ones are one row per block, whatever their share of all words.
 """
 
 from __future__ import annotations
@@ -24,38 +31,96 @@ from waymark.llm import grams as G
 
 SCHEMA = "doc_id long, n_words long, n_backoffs long, log_score double, mean_log_score double"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backoffs", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
+SPARE_BITS = 4  # of a fingerprint, beyond one bit pattern per n-gram of the corpus: one in 16 is asked for in vain
+
+
+def _hashes(words: G.Words, order: int, family: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per order k: hashes of the k-grams inside one document, and the word each ends at."""
+    before = np.arange(words.n) - words.first[:-1][words.doc] if words.n else np.zeros(0, np.int64)
+    parts, place = [], []
+    for k in range(1, order + 1):
+        at = np.flatnonzero(before >= k - 1)
+        parts.append(G.grams(words.hashes[family], k, 50 + k)[at - k + 1] if words.n else np.zeros(0, G.U))
+        place.append(at)
+    return parts, place
+
+
+class _Prints:
+    """Fingerprints (`bits` wide, ascending) of the n-grams of two words or more; `many`: more than one occurrence has it."""
+
+    def __init__(self, parts: list[np.ndarray], bits: int):
+        self.shift = G.U(64 - bits)
+        self.print, count = np.unique(np.concatenate([p >> self.shift for p in parts[1:]] or [np.zeros(0, G.U)]), return_counts=True)
+        self.many = count > 1
+
+    def edges(self, n_buckets: int) -> np.ndarray:
+        return B.bounds(self.print << self.shift, n_buckets)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.print, keys >> self.shift)
+
+
+def _repeated(block_of: list[int], payloads: list[tuple]):
+    """To each block one bit per fingerprint: does it occur twice anywhere?"""
+    n = [p[1] for p in payloads]
+    prints = np.concatenate([B.unplanes(p[0]) for p in payloads])
+    many = np.concatenate([np.unpackbits(p[2], count=p[1]) for p in payloads]).astype(bool)
+    order, begin = G.groups(prints)
+    size = np.diff(np.append(begin, len(order)))
+    twice = np.empty(len(prints), bool)
+    twice[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], begin), size)
+    at = 0
+    for block, count in zip(block_of, n, strict=True):
+        yield block, B.pack(np.packbits(twice[at : at + count]))
+        at += count
 
 
 class _Grams:
-    """Distinct n-grams of a block, all orders together, sorted by hash; `of[k]` is the entry of the k-gram that ends at each word."""
-
-    def __init__(self, block: B.Block, order: int):
-        self.words = w = G.Words(block, families=1)
-        before = np.arange(w.n) - w.first[:-1][w.doc] if w.n else np.zeros(0, np.int64)
-        parts, self.place = [], []
-        for k in range(1, order + 1):
-            at = np.flatnonzero(before >= k - 1)  # k-grams lie inside one document
-            parts.append(G.grams(w.hashes[0], k, 50 + k)[at - k + 1] if w.n else np.zeros(0, G.U))
-            self.place.append(at)
-        self.key, inverse, self.count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    """Distinct n-grams of a block, all orders together, sorted by hash; `of[k]` is the entry of the k-gram that ends at each word.
+
+    `asked` are the entries whose count the block cannot know by itself.
+    """
+
+    def __init__(self, block: B.Block, order: int, bits: int, answers: dict[int, tuple], n_buckets: int):
+        self.words = G.Words(block)
+        parts, self.place = _hashes(self.words, order, 0)
+        whole = np.concatenate(parts)
+        self.key, first, inverse, self.count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
         self.of = np.split(inverse, np.cumsum([len(p) for p in parts])[:-1])
+        self.asked = np.ones(len(self.key), bool)
+        if bits:
+            prints = _Prints(parts, bits)
+            edge = prints.edges(n_buckets)
+            twice = np.zeros(len(prints.print), bool)
+            for bucket, (mine,) in ((b, a) for b, a in answers.items() if b < B.SECOND):
+                twice[edge[bucket] : edge[bucket + 1]] = np.unpackbits(mine, count=edge[bucket + 1] - edge[bucket])
+            longer = first >= len(parts[0])
+            self.asked[longer] = twice[prints.of(self.key[longer])]
+        self.first = first
+        self.order = order
+
+    def checks(self) -> np.ndarray:
+        """The upper half of a second hash of each entry that is asked for."""
+        other = np.concatenate(_hashes(self.words, self.order, 1)[0])
+        return (other[self.first[self.asked]] >> G.U(32)).astype(np.uint32)
 
 
 def _sum(block_of: list[int], payloads: list[tuple]):
-    n = [len(p[0]) for p in payloads]
-    key, count = (np.concatenate([p[i] for p in payloads]) for i in (0, 1))
-    order, begin = G.groups(key)
+    key = np.concatenate([B.unplanes(p[0]) for p in payloads])
+    check, count = (np.concatenate([p[i] for p in payloads]) for i in (1, 2))
+    order, begin = G.groups(key, check)
     total = np.empty(len(key), np.int64)
     total[order] = np.repeat(np.add.reduceat(count[order].astype(np.int64), begin), np.diff(np.append(begin, len(order))))
     at = 0
-    for block, size in zip(block_of, n, strict=True):
-        mine = total[at : at + size]
-        at += size
-        yield block, B.pack(mine.astype(np.uint32) if mine.max() < 2**32 else mine)
+    for block, p in zip(block_of, payloads, strict=True):
+        mine = total[at : at + len(p[2])]
+        at += len(p[2])
+        yield block, B.pack(_narrow(mine))
 
 
 def _narrow(count: np.ndarray) -> np.ndarray:
-    return count.astype(np.uint8 if count.max(initial=0) < 256 else np.uint32)
+    most = count.max(initial=0)
+    return count.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
 
 
 def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,18 +141,30 @@ def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff:
                 yield pa.RecordBatch.from_arrays([pa.array([G.Words(B.Block(blob.as_py()), families=0).n], pa.int64())], ["n"])
 
     all_words = blocks.select("blob").mapInArrow(words, "n long").agg(F.sum("n")).first()[0] or 0
+    # without pruning every n-gram is in the model, so all are asked for
+    bits = min(64, (all_words * (order - 1)).bit_length() + SPARE_BITS) if min_count > 1 and order > 1 else 0
+
+    def prints(block: B.Block):
+        p = _Prints(_hashes(G.Words(block, families=1), order, 0)[0], bits)
+        edge = p.edges(n_buckets)
+        for bucket in np.flatnonzero(np.diff(edge)):
+            mine = slice(edge[bucket], edge[bucket + 1])
+            yield int(bucket), B.pack(B.planes(p.print[mine]), int(edge[bucket + 1] - edge[bucket]), np.packbits(p.many[mine]))
 
-    def grams(block: B.Block):
-        g = _Grams(block, order)
-        edge = B.bounds(g.key, n_buckets)
+    def grams(block: B.Block, answers: dict[int, tuple]):
+        g = _Grams(block, order, bits, answers, n_buckets)
+        key, check, count = g.key[g.asked], g.checks(), g.count[g.asked]
+        edge = B.bounds(key, n_buckets)
         for bucket in np.flatnonzero(np.diff(edge)):
             mine = slice(edge[bucket], edge[bucket + 1])
-            yield int(bucket), B.pack(g.key[mine], _narrow(g.count[mine]))
+            yield int(bucket), B.pack(B.planes(key[mine]), check[mine], _narrow(count[mine]))
 
     def result(block: B.Block, answers: dict[int, tuple]) -> pa.Table:
-        g = _Grams(block, order)
-        total = np.concatenate([answers[b][0] for b in sorted(answers)]).astype(np.float64) if answers else np.zeros(0)
+        g = _Grams(block, order, bits, answers, n_buckets)
         w = g.words
+        total = np.ones(len(g.key))  # what was not asked for occurs once in the corpus
+        told = [answers[b][0] for b in sorted(answers) if b >= B.SECOND]
+        total[g.asked] = np.concatenate(told) if told else 0
         score = np.log(total[g.of[0]] / all_words) if w.n else np.zeros(0)
         used, had = np.ones(w.n, np.int64), np.ones(w.n, np.int64)
         for k in range(2, order + 1):
@@ -107,4 +184,8 @@ def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff:
         mean = pa.array(total_score / np.maximum(n, 1), mask=n == 0)
         return pa.table({"doc_id": block.ids.cast(pa.int64()), "n_words": n, "n_backoffs": short[w.first[1:]] - short[w.first[:-1]], "log_score": total_score, "mean_log_score": mean})
 
-    return B.finish(blocks, B.answer(B.ask(blocks, grams), _sum), result, SCHEMA, _ARROW)
+    if not bits:
+        return B.finish(blocks, B.second(B.answer(B.ask(blocks, lambda block: grams(block, {})), _sum)), result, SCHEMA, _ARROW)
+    twice = B.materialize(B.answer(B.ask(blocks, prints), _repeated), "repeated")
+    told = B.second(B.answer(B.ask_again(blocks, twice, grams), _sum))
+    return B.finish(blocks, twice.unionByName(told), result, SCHEMA, _ARROW)

@@ -9,11 +9,15 @@ A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP1 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
-u AS (SELECT r, i, w[i] AS x, CASE WHEN i > 1 THEN w[i-1] END AS p FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-c1 AS (SELECT x, count(*) AS n FROM u GROUP BY x), c2 AS (SELECT p, x, count(*) AS n FROM u WHERE p IS NOT NULL GROUP BY p, x), t AS (SELECT count(*) AS n FROM u),
-s AS (SELECT r, CASE WHEN u.p IS NULL THEN ln(c1.n / t.n) WHEN c2.n >= 2 THEN ln(c2.n / cp.n) ELSE ln(c1.n / t.n) + ln(0.4) END AS v, (u.p IS NOT NULL AND c2.n < 2)::INT AS b
-      FROM u JOIN c1 ON u.x = c1.x LEFT JOIN c2 ON u.p = c2.p AND u.x = c2.x LEFT JOIN c1 cp ON u.p = cp.x, t),
-g AS (SELECT r, sum(v) AS v, sum(b) AS b, count(*) AS n FROM s GROUP BY r)
+u AS (SELECT r, w[i] AS x, CASE WHEN i > 1 THEN w[i-1] END AS p, CASE WHEN i > 2 THEN w[i-2] END AS q FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT x, count(*) AS n FROM u GROUP BY x), c2 AS (SELECT p, x, count(*) AS n FROM u WHERE p IS NOT NULL GROUP BY p, x), c3 AS (SELECT q, p, x, count(*) AS n FROM u WHERE q IS NOT NULL GROUP BY q, p, x),
+t AS (SELECT count(*) AS n FROM u),
+s AS (SELECT r, CASE WHEN c3.n >= 2 THEN ln(c3.n / c.n) ELSE CASE WHEN u.q IS NULL THEN 0 ELSE ln(0.4) END +
+         CASE WHEN u.p IS NULL THEN ln(c1.n / t.n) WHEN c2.n >= 2 THEN ln(c2.n / b.n) ELSE ln(0.4) + ln(c1.n / t.n) END END AS v,
+         (coalesce(c3.n, c2.n) < 2)::INT AS b
+      FROM u JOIN c1 ON u.x = c1.x LEFT JOIN c2 ON u.p = c2.p AND u.x = c2.x LEFT JOIN c1 b ON u.p = b.x
+      LEFT JOIN c3 ON u.q = c3.q AND u.p = c3.p AND u.x = c3.x LEFT JOIN c2 c ON u.q = c.p AND u.p = c.x, t),
+g AS (SELECT r, sum(v) AS v, coalesce(sum(b), 0) AS b, count(*) AS n FROM s GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(b, 0)::BIGINT AS n_backoffs, round(coalesce(v, 0), 6) AS log_score, round(v / n, 6) AS mean_log_score FROM d LEFT JOIN g ON d.r = g.r
 """
 
