@@ -210,8 +210,9 @@ def finish(blocks: DataFrame, answers: DataFrame, result: Callable[[Block, dict[
     return _joined(blocks, answers, run, schema)
 
 
-SECOND = 1 << 30
+SECOND = 1 << 27
 
 
-def second(answers: DataFrame) -> DataFrame:
-    return answers.withColumn("bucket", (F.col("bucket") + F.lit(SECOND)).cast("int"))
+def second(answers: DataFrame, later: int = 1) -> DataFrame:
+    """Answers of a later round: their buckets are shifted by `SECOND` for each round before it."""
+    return answers.withColumn("bucket", (F.col("bucket") + F.lit(later * SECOND)).cast("int"))

@@ -13,7 +13,7 @@ Plan, over blocks of documents (`blocks`), which explode their n-grams of all or
    and is nobody's context that matters, as a known n-gram's context occurs at least as often as itself. Exact: two
    n-grams with one fingerprint are both asked for.
 2. The others, with their counts in the block, go to the count table, which is partitioned by n-gram hash (64 bits, and 32
-   more as a check). It sums counts over blocks, and totals join back to the asking block.
+   more as a check). It sums counts over blocks, and totals join back to the asking block. Orders take rounds of their own.
 3. Each occurrence takes its log score; scores are summed per document.
 
 An n-gram leaves a block once, so frequent ones are one row per block, whatever their share of all words.
@@ -34,75 +34,70 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backoff
 SPARE_BITS = 4  # of a fingerprint, beyond one bit pattern per n-gram of the corpus: one in 16 is asked for in vain
 
 
-def _hashes(words: G.Words, order: int, family: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per order k: hashes of the k-grams inside one document, and the word each ends at."""
-    before = np.arange(words.n) - words.first[:-1][words.doc] if words.n else np.zeros(0, np.int64)
-    parts, place = [], []
-    for k in range(1, order + 1):
-        at = np.flatnonzero(before >= k - 1)
-        parts.append(G.grams(words.hashes[family], k, 50 + k)[at - k + 1] if words.n else np.zeros(0, G.U))
-        place.append(at)
-    return parts, place
+def _hashes(words: G.Words, k: int, family: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-grams inside one document, and the word each ends at."""
+    at = np.flatnonzero(np.arange(words.n) - words.first[:-1][words.doc] >= k - 1) if words.n else np.zeros(0, np.int64)
+    return (G.grams(words.hashes[0], k, family + k)[at - k + 1] if words.n else np.zeros(0, G.U)), at
 
 
-class _Prints:
-    """Fingerprints (`bits` wide, ascending) of the n-grams of two words or more; `many`: more than one occurrence has it."""
-
-    def __init__(self, parts: list[np.ndarray], bits: int):
-        self.shift = G.U(64 - bits)
-        self.print, count = np.unique(np.concatenate([p >> self.shift for p in parts[1:]] or [np.zeros(0, G.U)]), return_counts=True)
-        self.many = count > 1
-
-    def edges(self, n_buckets: int) -> np.ndarray:
-        return B.bounds(self.print << self.shift, n_buckets)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.print, keys >> self.shift)
+def _prints(block: B.Block, order: int, bits: int, n_buckets: int):
+    """Per bucket and order: ascending fingerprints, how many, and which of them occur more than once in the block."""
+    words, shift = G.Words(block, families=1), G.U(64 - bits)
+    found = []
+    for k in range(2, order + 1):
+        prints, count = np.unique(_hashes(words, k)[0] >> shift, return_counts=True)
+        found.append((prints, count > 1, B.bounds(prints << shift, n_buckets)))
+    for bucket in range(n_buckets):
+        cut = [(p[e[bucket] : e[bucket + 1]], m[e[bucket] : e[bucket + 1]]) for p, m, e in found]
+        if any(len(p) for p, _ in cut):
+            yield bucket, B.pack(*((B.planes(p), len(p), np.packbits(m)) for p, m in cut))
 
 
 def _repeated(block_of: list[int], payloads: list[tuple]):
-    """To each block one bit per fingerprint: does it occur twice anywhere?"""
-    n = [p[1] for p in payloads]
-    prints = np.concatenate([B.unplanes(p[0]) for p in payloads])
-    many = np.concatenate([np.unpackbits(p[2], count=p[1]) for p in payloads]).astype(bool)
-    order, begin = G.groups(prints)
-    size = np.diff(np.append(begin, len(order)))
-    twice = np.empty(len(prints), bool)
-    twice[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], begin), size)
-    at = 0
-    for block, count in zip(block_of, n, strict=True):
-        yield block, B.pack(np.packbits(twice[at : at + count]))
-        at += count
+    """To each block and order one bit per fingerprint: does it occur twice anywhere?"""
+    told: list[list[np.ndarray]] = [[] for _ in payloads]
+    for parts in zip(*payloads, strict=True):
+        prints = np.concatenate([B.unplanes(p[0]) for p in parts])
+        many = np.concatenate([np.unpackbits(p[2], count=p[1]) for p in parts]).astype(bool)
+        order, begin = G.groups(prints)
+        size = np.diff(np.append(begin, len(order)))
+        twice = np.zeros(len(prints), bool)
+        if len(prints):
+            twice[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], begin), size)
+        at = 0
+        for i, p in enumerate(parts):
+            told[i].append(np.packbits(twice[at : at + p[1]]))
+            at += p[1]
+    for block, bits in zip(block_of, told, strict=True):
+        yield block, B.pack(*bits)
 
 
 class _Grams:
-    """Distinct n-grams of a block, all orders together, sorted by hash; `of[k]` is the entry of the k-gram that ends at each word.
+    """Distinct k-grams of a block, sorted by hash; `of` is the entry of the k-gram that ends at each of the words `place`.
 
     `asked` are the entries whose count the block cannot know by itself.
     """
 
-    def __init__(self, block: B.Block, order: int, bits: int, answers: dict[int, tuple], n_buckets: int):
-        self.words = G.Words(block)
-        parts, self.place = _hashes(self.words, order, 0)
-        whole = np.concatenate(parts)
-        self.key, first, inverse, self.count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-        self.of = np.split(inverse, np.cumsum([len(p) for p in parts])[:-1])
+    def __init__(self, words: G.Words, k: int, bits: int, answers: dict[int, tuple], n_buckets: int):
+        hashes, self.place = _hashes(words, k)
+        self.k, self.words = k, words
+        self.key, self.first, self.of, self.count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         self.asked = np.ones(len(self.key), bool)
-        if bits:
-            prints = _Prints(parts, bits)
-            edge = prints.edges(n_buckets)
-            twice = np.zeros(len(prints.print), bool)
-            for bucket, (mine,) in ((b, a) for b, a in answers.items() if b < B.SECOND):
-                twice[edge[bucket] : edge[bucket + 1]] = np.unpackbits(mine, count=edge[bucket + 1] - edge[bucket])
-            longer = first >= len(parts[0])
-            self.asked[longer] = twice[prints.of(self.key[longer])]
-        self.first = first
-        self.order = order
-
-    def checks(self) -> np.ndarray:
-        """The upper half of a second hash of each entry that is asked for."""
-        other = np.concatenate(_hashes(self.words, self.order, 1)[0])
-        return (other[self.first[self.asked]] >> G.U(32)).astype(np.uint32)
+        if k > 1 and bits:
+            shift = G.U(64 - bits)
+            prints = self.key >> shift
+            new = np.ones(len(prints), bool)
+            new[1:] = prints[1:] != prints[:-1]
+            edge = B.bounds(prints[new] << shift, n_buckets)
+            twice = np.zeros(int(new.sum()), bool)
+            for bucket, told in ((b, a) for b, a in answers.items() if b < B.SECOND):
+                twice[edge[bucket] : edge[bucket + 1]] = np.unpackbits(told[k - 2], count=int(edge[bucket + 1] - edge[bucket]))
+            self.asked = twice[np.cumsum(new) - 1]
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, check (half of another hash) and count of what is asked for."""
+        check = _hashes(self.words, self.k, 80)[0][self.first[self.asked]]
+        return self.key[self.asked], (check >> G.U(32)).astype(np.uint32), self.count[self.asked]
 
 
 def _sum(block_of: list[int], payloads: list[tuple]):
@@ -143,37 +138,53 @@ def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff:
     all_words = blocks.select("blob").mapInArrow(words, "n long").agg(F.sum("n")).first()[0] or 0
     # without pruning every n-gram is in the model, so all are asked for
     bits = min(64, (all_words * (order - 1)).bit_length() + SPARE_BITS) if min_count > 1 and order > 1 else 0
-
-    def prints(block: B.Block):
-        p = _Prints(_hashes(G.Words(block, families=1), order, 0)[0], bits)
-        edge = p.edges(n_buckets)
-        for bucket in np.flatnonzero(np.diff(edge)):
-            mine = slice(edge[bucket], edge[bucket + 1])
-            yield int(bucket), B.pack(B.planes(p.print[mine]), int(edge[bucket + 1] - edge[bucket]), np.packbits(p.many[mine]))
-
-    def grams(block: B.Block, answers: dict[int, tuple]):
-        g = _Grams(block, order, bits, answers, n_buckets)
-        key, check, count = g.key[g.asked], g.checks(), g.count[g.asked]
-        edge = B.bounds(key, n_buckets)
-        for bucket in np.flatnonzero(np.diff(edge)):
-            mine = slice(edge[bucket], edge[bucket + 1])
-            yield int(bucket), B.pack(B.planes(key[mine]), check[mine], _narrow(count[mine]))
+    rounds = [(1, 2), *((k,) for k in range(3, order + 1))] if order > 1 else [(1,)]
+
+    def grams(ks: tuple[int, ...]):
+        """Orders of one round share a payload; several rounds, each written and its shuffle dropped, bound the disk that is held at once."""
+
+        def question(block: B.Block, answers: dict[int, tuple]):
+            words = G.Words(block, families=1)
+            key, check, count = (np.concatenate(x) for x in zip(*(_Grams(words, k, bits, answers, n_buckets).entries() for k in ks), strict=True))
+            order_ = np.argsort(key, kind="stable")
+            key, check, count = key[order_], check[order_], count[order_]
+            edge = B.bounds(key, n_buckets)
+            for bucket in np.flatnonzero(np.diff(edge)):
+                mine = slice(edge[bucket], edge[bucket + 1])
+                yield int(bucket), B.pack(B.planes(key[mine]), check[mine], _narrow(count[mine]))
+
+        return question
+
+    def totals(found: list[_Grams], answers: dict[int, tuple]) -> list[np.ndarray]:
+        """The corpus count of every entry; what was not asked for occurs once."""
+        out = [np.ones(len(g.key)) for g in found]
+        for number, ks in enumerate(rounds, 1):
+            told = [a[0] for b, a in sorted(answers.items()) if b // B.SECOND == number]
+            told = np.concatenate(told) if told else np.zeros(0)
+            keys = np.concatenate([found[k - 1].key[found[k - 1].asked] for k in ks])
+            back = np.empty(len(keys))
+            back[np.argsort(keys, kind="stable")] = told
+            at = 0
+            for k in ks:
+                n = int(found[k - 1].asked.sum())
+                out[k - 1][found[k - 1].asked] = back[at : at + n]
+                at += n
+        return out
 
     def result(block: B.Block, answers: dict[int, tuple]) -> pa.Table:
-        g = _Grams(block, order, bits, answers, n_buckets)
-        w = g.words
-        total = np.ones(len(g.key))  # what was not asked for occurs once in the corpus
-        told = [answers[b][0] for b in sorted(answers) if b >= B.SECOND]
-        total[g.asked] = np.concatenate(told) if told else 0
-        score = np.log(total[g.of[0]] / all_words) if w.n else np.zeros(0)
+        w = G.Words(block, families=1)
+        found = [_Grams(w, k, bits, answers, n_buckets) for k in range(1, order + 1)]
+        total = totals(found, answers)
+        score = np.log(total[0][found[0].of] / all_words) if w.n else np.zeros(0)
         used, had = np.ones(w.n, np.int64), np.ones(w.n, np.int64)
         for k in range(2, order + 1):
-            at = g.place[k - 1]
+            this, shorter = found[k - 1], found[k - 2]
+            at = this.place
             score[at] += np.log(backoff)
             had[at] = k
-            count = total[g.of[k - 1]]
-            # the context is the (k-1)-gram that ends one word earlier; of[k-2] runs over place[k-2]
-            context = total[g.of[k - 2]][np.searchsorted(g.place[k - 2], at - 1)]
+            count = total[k - 1][this.of]
+            # the context is the (k-1)-gram that ends one word earlier
+            context = total[k - 2][shorter.of][np.searchsorted(shorter.place, at - 1)]
             known = count >= min_count
             score[at[known]] = np.log(count[known] / context[known])
             used[at[known]] = k
@@ -184,8 +195,11 @@ def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff:
         mean = pa.array(total_score / np.maximum(n, 1), mask=n == 0)
         return pa.table({"doc_id": block.ids.cast(pa.int64()), "n_words": n, "n_backoffs": short[w.first[1:]] - short[w.first[:-1]], "log_score": total_score, "mean_log_score": mean})
 
-    if not bits:
-        return B.finish(blocks, B.second(B.answer(B.ask(blocks, lambda block: grams(block, {})), _sum)), result, SCHEMA, _ARROW)
-    twice = B.materialize(B.answer(B.ask(blocks, prints), _repeated), "repeated")
-    told = B.second(B.answer(B.ask_again(blocks, twice, grams), _sum))
-    return B.finish(blocks, twice.unionByName(told), result, SCHEMA, _ARROW)
+    repeated = blocks.sparkSession.createDataFrame([], B.MESSAGE)
+    if bits:
+        repeated = B.materialize(B.answer(B.ask(blocks, lambda block: _prints(block, order, bits, n_buckets)), _repeated), "repeated")
+    answers = repeated
+    for number, ks in enumerate(rounds, 1):
+        told = B.answer(B.ask_again(blocks, repeated, grams(ks)), _sum)
+        answers = answers.unionByName(B.second(B.materialize(told, "counts"), number))
+    return B.finish(blocks, answers, result, SCHEMA, _ARROW)
