@@ -55,11 +55,11 @@ def _bucket(v: str) -> str:
 
 
 def _op10() -> str:
-    from waymark.llm.quality import METRICS, MIN_GROUP
+    from waymark.llm.quality import METRICS, MIN_GROUP, sketched, wanted_quantiles
 
-    div = {m: e[0].replace(" div ", " // ") for m, e in METRICS.items()}
+    div = {m: e.replace(" div ", " // ") for m, e in sketched().items()}
     union = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_bucket(f'({x})::BIGINT')} AS b FROM ok" for m, x in div.items())
-    wanted = [(m, q) for m, (_, low, high, _, _) in METRICS.items() for q in sorted({50} | {x for x in (low, high) if x is not None})]
+    wanted = wanted_quantiles()
     top = "CASE WHEN x < 32 THEN x ELSE ((x - 16 * (x // 16 - 1) + 1) << (x // 16 - 1)::BIGINT) - 1 END"
 
     def level(name: str, keys: str) -> str:
@@ -72,11 +72,12 @@ def _op10() -> str:
 
     chosen = ", ".join(f"CASE WHEN p.total >= {MIN_GROUP} THEN p.{m}_{q} WHEN l.total >= {MIN_GROUP} THEN l.{m}_{q} ELSE a.{m}_{q} END AS {m}_{q}" for m, q in wanted)
     bad = []
-    for m, (_, low, high, reach, slack) in METRICS.items():
+    for m, (_, low, high, reach, unit) in METRICS.items():
+        least = unit.replace(" div ", " // ")
         if high is not None:
-            bad.append(f"({div[m]}) > {m}_50 + {reach} * ({m}_{high} - {m}_50) + {slack}")
+            bad.append(f"({div[m]}) > {m}_50 + {reach} * greatest({m}_{high} - {m}_50, {least})")
         if low is not None:
-            bad.append(f"({div[m]}) < {m}_50 - {reach} * ({m}_50 - {m}_{low}) - {slack}")
+            bad.append(f"({div[m]}) < {m}_50 - {reach} * greatest({m}_50 - {m}_{low}, {least})")
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 ln AS (SELECT r, x, count(*) AS c FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r, x),

@@ -10,8 +10,11 @@ most one sixteenth of its value, and two sketches merge by adding counts, in any
 the same result. As rows (language, source, metric, bucket, n) they are built with map-side combining and
 merged upwards where a group is small: (language, source), then language, then everything.
 
-A text fails when a metric lies outside median +- REACH * (spread on that side) +- SLACK, spread being the distance from
-the median to a far quantile. Documents that failed the base rule do not shape the sketches.
+A text fails when a metric lies further from its group's median than `reach` times the spread on that side, the
+distance from the median to a far quantile. Many metrics are 0 for most texts of a group, so their spread may be 0; it counts
+as one unit at least, and the unit is the group's own too: one symbol (or repeated line) in a text of its median length, or,
+for word length, the sketch's resolution at its median. No limit is a constant.
+Documents that failed the base rule do not shape the sketches. Repeated word windows have no limit here: the base rule has.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.llm import grams as G
 from waymark.llm.blocks import Block
@@ -29,13 +33,14 @@ from waymark.llm.scratch import materialize
 
 SYMBOLS = b"#*$%&|<>"
 MIN_GROUP = 200
-#: metric: (as an integer expression, far quantiles below and above in per cent, reach, slack). Null quantile: no limit on that side.
+#: metric: (as an integer expression, far quantiles below and above in per cent, reach, unit as an expression of medians). Null quantile: no limit on that side.
 METRICS = {
-    "word_length": ("100 * word_chars div n_words", 10, 90, 6, 100),
-    "symbols": ("10000 * n_symbols div n_words", None, 75, 4, 1000),
-    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", None, 90, 4, 5000),
-    "repeat_words": ("10000 * n_repeat_words div n_words", None, 90, 4, 3000),
+    "word_length": ("100 * word_chars div n_words", 10, 90, 6, "word_length_50 div 16"),
+    "symbols": ("10000 * n_symbols div n_words", None, 75, 4, "10000 div greatest(words_50, 1)"),
+    "dup_lines": ("10000 * n_dup_lines div greatest(n_lines, 1)", None, 75, 4, "10000 div greatest(lines_50, 1)"),
 }
+#: sketched for their medians only
+SIZES = {"words": "n_words", "lines": "n_lines"}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -88,8 +93,8 @@ def measure(docs: DataFrame, text_col: str = "text", columns: tuple[str, ...] |
                 yield pa.RecordBatch.from_arrays(arrays, [*columns, *COUNTS])
 
     rows = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return rows.mapInArrow(run, kept + ", ".join(f"{c} long" for c in COUNTS))
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return rows.mapInArrow(run, schema)
 
 
 def bucket(v: Column) -> Column:
@@ -103,9 +108,18 @@ def top_of(b: Column) -> Column:
     return F.when(b < 32, b).otherwise(F.call_function("shiftleft", b - 16 * shift + 1, shift) - 1).cast("long")
 
 
+def sketched() -> dict[str, str]:
+    return {m: e[0] for m, e in METRICS.items()} | SIZES
+
+
+def wanted_quantiles() -> list[tuple[str, int]]:
+    far = [(m, q) for m, (_, low, high, _, _) in METRICS.items() for q in sorted({50} | {x for x in (low, high) if x is not None})]
+    return far + [(m, 50) for m in SIZES]
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n) of the documents that pass the base rule."""
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.expr(f"cast({e[0]} as long)")).alias("bucket")) for m, e in METRICS.items()])
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.expr(f"cast({e} as long)")).alias("bucket")) for m, e in sketched().items()])
     rows = measured.filter(~F.col("base_failed")).select("lang", "source", F.inline(values))
     return rows.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
@@ -121,8 +135,7 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
         reached = (F.col("metric") == metric) & (F.col("_upto") * 100 >= F.col("_all") * q)
         return top_of(F.min(F.when(reached, F.col("bucket")))).alias(f"{metric}_{q}")
 
-    wanted = [at(m, q) for m, (_, low, high, _, _) in METRICS.items() for q in sorted({50} | {x for x in (low, high) if x is not None})]
-    return merged.groupBy(*keys).agg(F.max("_all").alias("total"), *wanted)
+    return merged.groupBy(*keys).agg(F.max("_all").alias("total"), *(at(m, q) for m, q in wanted_quantiles()))
 
 
 def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
@@ -134,14 +147,23 @@ def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return joined.select("p.lang", "p.source", *pick)
 
 
-def verdict() -> Column:
-    bad = F.lit(False)
-    for m, (expression, low, high, reach, slack) in METRICS.items():
-        value, middle = F.expr(expression), F.col(f"{m}_50")
+def failures() -> dict[str, Column]:
+    """Per metric: does the value lie beyond a limit of its group?"""
+    out = {}
+    for m, (expression, low, high, reach, unit) in METRICS.items():
+        value, middle, bad = F.expr(expression), F.col(f"{m}_50"), F.lit(False)
         if high is not None:
-            bad = bad | (value > middle + reach * (F.col(f"{m}_{high}") - middle) + slack)
+            bad = bad | (value > middle + reach * F.greatest(F.col(f"{m}_{high}") - middle, F.expr(unit)))
         if low is not None:
-            bad = bad | (value < middle - reach * (middle - F.col(f"{m}_{low}")) - slack)
+            bad = bad | (value < middle - reach * F.greatest(middle - F.col(f"{m}_{low}"), F.expr(unit)))
+        out[m] = bad
+    return out
+
+
+def verdict() -> Column:
+    bad = F.lit(False)
+    for one in failures().values():
+        bad = bad | one
     return ~bad
 
 
