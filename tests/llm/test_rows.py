@@ -3,9 +3,11 @@
 import collections
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import mixing, packing, queries
+from tests.llm.test_operators import SCHEMA, _corpus, _jaccard
+from waymark.llm import jaccard, mixing, packing, queries
 from waymark.llm.queries import tokenizer_path
 
 
@@ -62,3 +64,20 @@ def test_repeated_and_null_ids_are_mixed_row_by_row(spark):
     for r in mixed:
         sums[r.source] += r.taken
     assert {r.source: r.n for r in taken} == dict(+sums) and any(r.doc_id is None and r.taken for r in mixed)
+
+
+@pytest.mark.parametrize("limits", [{"SLICE": 8, "ROWS": 16, "SHORT_LIST": 4}, {"SLICE": 4_000, "ROWS": 40, "SHORT_LIST": 2, "PAIRS_PER_CELL": 20, "GRAMS_PER_CELL": 500}])
+def test_jaccard_join_in_many_cells_and_tiles(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = _corpus(11)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), 4, 60).collect()}
+    assert got == _jaccard(rows, 4, 60)
+
+
+def test_jaccard_join_compares_rows_not_ids(spark):
+    """One id on two texts, large ids, and rows without an id."""
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, one), (5, two), (9, two), (2**62 + 3, one), (None, one), (None, "alone with these five words")]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == collections.Counter([(5, 37, 5), (5, 37, 5), (9, 37, 5), (2**62 + 3, 37, 5), (None, 37, 5), (None, 2, None)])

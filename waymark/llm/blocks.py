@@ -70,8 +70,10 @@ class Block:
     def _load(self, batch: pa.Table) -> None:
         batch = batch.combine_chunks()
         self.batch = batch
-        self.ids, text = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in batch.columns)
+        self.ids, text, *row = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in batch.columns)
         self.n = len(text)
+        #: a number of its own for each row of the corpus, whatever its id
+        self.rows = row[0].to_numpy() if row else np.arange(self.n)
         text = text.cast(pa.large_binary()).fill_null(b"")
         buffers = text.buffers()
         self.offsets = np.frombuffer(buffers[1], dtype=np.int64)[text.offset : text.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
@@ -110,8 +112,10 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
+        row = part << 36
         for batch in batches:
-            table = pa.table({"id": batch.column(0), "text": batch.column(1).cast(pa.large_string())})
+            table = pa.table({"id": batch.column(0), "text": batch.column(1).cast(pa.large_string()), "row": np.arange(row, row + len(batch))})
+            row += len(batch)
             lengths = np.asarray(pa.compute.binary_length(table["text"]).fill_null(0)) if len(table) else np.zeros(0, np.int64)
             for a, b in _cut(lengths, block_bytes):
                 sink = pa.BufferOutputStream()

@@ -10,14 +10,16 @@ Documents are sets of word `k`-grams (A-Z in lower case). Two of them link when
    here on. A short posting list gives its passing pairs; a long one (a group of near copies) first links all to one
    centre; only what its components leave apart is compared later.
 3. Vertical partitioning. Candidate pairs are dealt to cells, with each set a cell needs once. The order is cut into
-   fragments; a cell counts partial overlaps in one fragment after the other with an inverted index, sums them per
-   pair, and drops pairs that the remaining fragments cannot save.
+   fragments; sets travel cut into them, and each fragment of a cell is counted by itself, in a task of its own, with an inverted
+   index. That gives partial overlaps, which a shuffle sums per pair. (What long lists leave apart is chosen pair by pair as components grow, so there
+   the fragments of a cell are counted one after the other, and a pair is dropped when the rest cannot save it.)
 4. Links are closed to components. Copies get their representative's component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ PAIRS_PER_CELL = 4_000
 GRAMS_PER_CELL = 4_000_000
 GRAMS_PER_FRAGMENT = 500_000
 SLICE = 4_000
+ROWS = 4_000
 PREFIX_TEXT = 40 << 20
 
 
@@ -46,38 +49,65 @@ class Sets:
     def __init__(self, block: B.Block, k: int):
         w = G.Words(block, lower=True, families=1)
         n_words = np.diff(w.first)
-        at = np.flatnonzero(w.left() >= k) if w.n else np.zeros(0, np.int64)
-        gram, doc = G.grams(w.hashes[0], k, 60)[at], w.doc[at] if w.n else at
+        count = np.maximum(n_words - k + 1, 0)
+        ends = np.cumsum(count)
+        gram = G.grams(w.hashes[0], k, 60)[np.repeat(w.first[:-1] - (ends - count), count) + np.arange(count.sum())]
         short = np.flatnonzero((n_words > 0) & (n_words < k))
         if len(short):
             whole = G.Spans(w.hashes[0], 0).hash(w.first[short], w.first[short + 1])
-            gram, doc = np.concatenate((gram, G.mix(whole + G.U(77)))), np.concatenate((doc, short))
-        order = np.lexsort((gram, doc))
-        gram, doc = gram[order], doc[order]
+            gram = np.insert(gram, (ends - count)[short], G.mix(whole + G.U(77)))
+            count[short] = 1
+            ends = np.cumsum(count)
+        for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
+            gram[a:b].sort()
+        doc = np.repeat(np.arange(block.n), count)
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
         self.gram, self.doc = gram[new], doc[new]
         self.first = np.searchsorted(self.doc, np.arange(block.n + 1))
         self.size = np.diff(self.first)
-        # equal sets have equal digests (2 x 64 bits and the size)
-        self.digest = [self._sum(G.mix(self.gram + G.U(c))) + self.size.astype(G.U) for c in (1234567, 7654321)]
-        ids = block.ids.cast(pa.int64())
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        # rows without an id: a node of their own per set
-        self.node = np.where(null, np.int64(2**62) + (self.digest[0] >> G.U(3)).astype(np.int64), ids.fill_null(0).to_numpy())
+        self.node = block.rows
+        self.ids = block.ids.cast(pa.int64())
+
+    @cached_property
+    def digest(self) -> list[np.ndarray]:
+        """Equal sets have equal digests (2 x 64 bits and the size)."""
+        return [self._sum(G.mix(self.gram + G.U(c))) + self.size.astype(G.U) for c in (1234567, 7654321)]
 
     def _sum(self, x: np.ndarray) -> np.ndarray:
         sums = np.concatenate((np.zeros(1, G.U), np.cumsum(x, dtype=G.U)))
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
-    def leaders(self) -> np.ndarray:
-        """Documents with a set, the smallest node of each class of equal sets in the block."""
+    def leads(self) -> np.ndarray:
+        """Per document: has it a set, and the smallest node of its class of equal sets in the block?"""
         some = np.flatnonzero(self.size > 0)
         order = some[np.lexsort((self.node[some], self.digest[1][some], self.digest[0][some]))]
         new = np.ones(len(order), bool)
         a, b = (d[order] for d in self.digest)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return np.sort(order[new])
+        out = np.zeros(len(self.size), bool)
+        out[order[new]] = True
+        return out
+
+
+class Heavy:
+    """Membership in an ascending list of 32-bit numbers; a bitmap of their upper 24 bits turns most others away."""
+
+    def __init__(self, halves: np.ndarray):
+        self.halves = halves
+
+    @cached_property
+    def seen(self) -> np.ndarray:  # made where it is used, not sent
+        seen = np.zeros(1 << 24, bool)
+        seen[self.halves >> 8] = True
+        return seen
+
+    def holds(self, halves: np.ndarray) -> np.ndarray:
+        out = self.seen[halves >> 8]
+        maybe = np.flatnonzero(out)
+        at = np.searchsorted(self.halves, halves[maybe])
+        out[maybe] = self.halves[np.minimum(at, len(self.halves) - 1)] == halves[maybe] if len(maybe) else False
+        return out
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -91,17 +121,15 @@ def passes(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, percent:
     return np.minimum(n - i, m - j) >= overlap
 
 
-def _prefixes(s: Sets, docs: np.ndarray, heavy: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, doc, rank) of the prefixes of docs in the global order."""
-    inside = np.isin(s.doc, docs)
-    gram, doc = s.gram[inside], s.doc[inside]
-    late = np.isin((gram >> G.U(32)).astype(np.uint32), heavy)
-    order = np.lexsort((gram, late, doc))
-    gram, doc = gram[order], doc[order]
-    first = np.searchsorted(doc, np.arange(len(s.size) + 1))
-    rank = np.arange(len(gram)) - first[doc]
-    keep = rank < (s.size - _needed(s.size, percent) + 1)[doc]
-    return gram[keep], doc[keep], rank[keep]
+def _prefixes(s: Sets, heavy: Heavy, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, doc, rank) of the prefixes, in the global order, of the documents that lead their class."""
+    late = heavy.holds((s.gram >> G.U(32)).astype(np.uint32))
+    early = np.concatenate(([0], np.cumsum(~late)))
+    begin, n_early = early[s.first[:-1]], early[s.first[1:]] - early[s.first[:-1]]
+    before = early[:-1] - begin[s.doc]  # early ones before this one in its document
+    rank = np.where(late, n_early[s.doc] + np.arange(len(s.gram)) - s.first[s.doc] - before, before)
+    keep = (rank < (s.size - _needed(s.size, percent) + 1)[s.doc]) & s.leads()[s.doc]
+    return s.gram[keep], s.doc[keep], rank[keep]
 
 
 def _pairs_of_list(node: np.ndarray, size: np.ndarray, rank: np.ndarray, percent: int):
@@ -202,7 +230,7 @@ class Part:
 
 
 class Cell:
-    """Sets of one cell, cut into fragments of the global order; partial overlaps come from a fragment's inverted index."""
+    """Sets of one cell, or of one fragment of it: the n-grams of each set that the payloads hold, and its full size."""
 
     def __init__(self, payloads: pa.ChunkedArray):
         nodes, sizes, counts, grams = [], [], [], []
@@ -216,36 +244,27 @@ class Cell:
         self.order = np.argsort(self.node)
         self.first = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
         self.gram = np.concatenate(grams)
-        self.fragments = max(FRAGMENTS, -(-len(self.gram) // GRAMS_PER_FRAGMENT))
         self.kept: list[Part] = []
 
-    def part(self, f: int) -> Part:
-        return Part(self.gram, self.first, f * 2**64 // self.fragments, (f + 1) * 2**64 // self.fragments)
-
     def index(self, nodes: np.ndarray) -> np.ndarray:
         return self.order[np.searchsorted(self.node, nodes, sorter=self.order)]
 
     def need(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
         return -(-(self.size[x] + self.size[y]) * percent // (100 + percent))
 
-    def linking(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-        """Which pairs (x ascending) link. One fragment is indexed at a time; its partial overlaps are added per pair."""
-        total, left, need = np.zeros(len(x), np.int64), self.size[x], self.need(x, y, percent)
-        alive = np.ones(len(x), bool)
+    def partial(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Overlaps of the pairs (x ascending) in the n-grams held here."""
+        part, total = Part(self.gram, self.first, 0, 2**64), np.zeros(len(x), np.int64)
         cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist() + [len(x)]
-        for f in range(self.fragments):
-            part = self.part(f)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if alive[a:b].any():
-                    total[a:b] += part.overlaps(int(x[a]), y[a:b])
-            left = left - (part.first[x + 1] - part.first[x])
-            alive &= total + left >= need  # the others cannot be saved by the fragments that remain
-        return alive
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            total[a:b] = part.overlaps(int(x[a]), y[a:b])
+        return total
 
     def links(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
         """Those of `others` that link with x, for callers that choose pairs as they go: the indexes of all fragments are kept."""
         if not self.kept:
-            self.kept = [self.part(f) for f in range(self.fragments)]
+            n = max(FRAGMENTS, -(-len(self.gram) // GRAMS_PER_FRAGMENT))
+            self.kept = [Part(self.gram, self.first, f * 2**64 // n, (f + 1) * 2**64 // n) for f in range(n)]
             self.gram = self.gram[:0]
         need, total, left = self.need(np.int64(x), others, percent), np.zeros(len(others), np.int64), self.size[x]
         for part in self.kept:
@@ -270,8 +289,9 @@ class Forest:
         return a
 
 
-def _sent(blocks: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted (_n, cell), distinct -> the sets of these nodes, one payload per block and cell."""
+def _sent(blocks: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, fragments: int = 1) -> DataFrame:
+    """wanted (_n, cell), distinct -> the sets of these nodes, one payload per block, cell and fragment of the global order
+    (bucket: cell * fragments + fragment; fragments are equal ranges of hashes)."""
     requests = wanted.join(nodes, F.col("_n") == F.col("node")).select("block", F.col("cell").alias("bucket"), F.col("node").cast("string").cast("binary").alias("payload"))
 
     def segments(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -279,24 +299,29 @@ def _sent(blocks: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> Dat
             return B._SCHEMA.empty_table()
         block = left.column("block")[0].as_py()
         s = Sets(B.Block(left.column("blob")[0].as_py()), k)
-        where = {int(n): i for i, n in reversed(list(enumerate(s.node.tolist()))) if s.size[i]}
+        where = {int(n): i for i, n in enumerate(s.node.tolist())}
         by_cell: dict[int, list[int]] = {}
         for cell, node in zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True):
             by_cell.setdefault(cell, []).append(where[int(node)])
+        cuts = [G.U(f * 2**64 // fragments) for f in range(fragments)]
         rows = []
         for cell, docs in by_cell.items():
             parts = [s.gram[s.first[i] : s.first[i + 1]] for i in docs]
-            rows.append((cell, block, B.pack(s.node[docs], s.size[docs], np.array([len(x) for x in parts]), np.concatenate(parts))))
+            edges = [[*np.searchsorted(x, cuts).tolist(), len(x)] for x in parts]
+            for f in range(fragments):
+                mine = [x[e[f] : e[f + 1]] for x, e in zip(parts, edges, strict=True)]
+                rows.append((cell * fragments + f, block, B.pack(s.node[docs], s.size[docs], np.array([len(x) for x in mine]), np.concatenate(mine))))
         return pa.Table.from_batches([B._batch(rows)] if rows else [], schema=B._SCHEMA)
 
     return B._joined(blocks, requests, segments, B.MESSAGE)
 
 
 _LINKS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+_PARTIAL = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("shared", pa.int64()), ("need", pa.int64())])
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (x, y) -> links enough to connect what the linking pairs connect."""
+    """pairs (x, y) -> those that link. Each fragment of a cell is a task's work of its own; it gives partial overlaps per pair, and a shuffle sums them."""
     pairs = materialize(pairs, "pairs")
     both = pairs.select(F.col("x").alias("_n"), F.col("y").alias("_o")).union(pairs.select(F.col("y").alias("_n"), F.col("x").alias("_o")))
     least = both.groupBy("_n").agg(F.min("_o").alias("_m")).join(nodes, F.col("_n") == F.col("node"))
@@ -316,25 +341,31 @@ def _verify(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, perce
     celled = dealt.select("x", "y", F.pmod(key, F.lit(cells)).cast("int").alias("cell"))
     wanted = celled.select(F.col("x").alias("_n"), "cell").union(celled.select(F.col("y").alias("_n"), "cell")).distinct()
 
-    def count_cell(left: pa.Table, right: pa.Table) -> pa.Table:
+    def count_fragment(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return _LINKS.empty_table()
+            return _PARTIAL.empty_table()
         cell = Cell(right.column("payload"))
         x, y = (cell.index(left.column(c).to_numpy()) for c in ("x", "y"))
         order = np.argsort(x, kind="stable")
         x, y = x[order], y[order]
-        found = cell.linking(x, y, percent)
-        return pa.table([pa.array(cell.node[i[found]], pa.int64()) for i in (x, y)], schema=_LINKS)
+        shared = cell.partial(x, y)
+        some = np.flatnonzero(shared)
+        x, y = x[some], y[some]
+        return pa.table([pa.array(c, pa.int64()) for c in (cell.node[x], cell.node[y], shared[some], cell.need(x, y, percent))], schema=_PARTIAL)
 
-    sent = _sent(blocks, nodes, wanted, k)
-    return celled.groupBy("cell").cogroup(sent.withColumn("cell", F.col("bucket")).groupBy("cell")).applyInArrow(count_cell, "x long, y long")
+    sent = _sent(blocks, nodes, wanted, k, FRAGMENTS)
+    fragment = F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))
+    dealt = celled.withColumn("_f", fragment).select("x", "y", (F.col("cell") * FRAGMENTS + F.col("_f")).alias("bucket"))
+    partial = dealt.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(count_fragment, "x long, y long, shared long, need long")
+    return partial.groupBy("x", "y").agg(F.sum("shared").alias("_s"), F.first("need").alias("_need")).filter("_s >= _need").select("x", "y")
 
 
 def _left_apart(lists: DataFrame, found: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between different components inside long lists.
 
-    Lists of one group of near copies go to one cell, which holds each set once and compares only what is
-    not yet connected there; it returns a spanning forest. A group beyond `SLICE` sets is dealt to tiles of two slices each.
+    A cell compares only what is not yet connected there, and returns a spanning forest. Lists of one group of near copies share
+    most members, so they share cells, of about `ROWS` memberships each. A list beyond `SLICE` sets is dealt to tiles: its largest component
+    (whose members need not be compared with each other) in slices against slices of all others, and those against each other.
     """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,17 +376,35 @@ def _left_apart(lists: DataFrame, found: DataFrame, nodes: DataFrame, blocks: Da
 
     rows = lists.select("list", "payload").mapInArrow(members, "list long, _n long, size long, rank long")
     labelled = materialize(rows.join(found, F.col("_n") == F.col("node"), "left").select("list", "_n", "size", "rank", F.coalesce("component", "_n").alias("label")), "labelled")
-    apart = labelled.groupBy("list").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a < _b").select(F.col("list").alias("_l"))
-    rows = labelled.join(apart, F.col("list") == F.col("_l"), "left_semi")
+    parts = labelled.groupBy("list", "label").agg(F.count("*").alias("_c"))
+    apart = parts.groupBy(F.col("list").alias("_l")).agg(F.sum("_c").alias("_all"), F.max(F.struct("_c", "label")).alias("_top")).filter("_top._c < _all")
+    rows = labelled.join(apart, F.col("list") == F.col("_l"))
+    rows = rows.select("list", "_n", "size", "rank", "label", "_all", F.col("_top._c").alias("_most"), (F.col("label") == F.col("_top.label")).alias("_major"))
+    rows = materialize(rows, "apart")
+    columns = ("list", "_n", "size", "rank", "label")
     # lists of a group share nearly all members: two steps of minimum labels give most of them one name
-    least = rows.groupBy(F.col("_n").alias("_m")).agg(F.min("list").alias("_least"))
-    group = rows.join(least, F.col("_n") == F.col("_m")).groupBy(F.col("list").alias("_l")).agg(F.min("_least").alias("group"))
-    rows = materialize(rows.join(group, F.col("list") == F.col("_l")).select("group", "list", "_n", "size", "rank", "label"), "apart")
-    slices = rows.groupBy(F.col("group").alias("_g")).agg(F.ceil(F.approx_count_distinct("_n") / SLICE).cast("int").alias("_s"))
-    dealt = rows.join(slices, F.col("group") == F.col("_g")).withColumn("_i", F.pmod(F.xxhash64("_n"), F.col("_s")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("_s") - 1), lambda j: F.struct(F.least(F.col("_i"), j).alias("p"), F.greatest(F.col("_i"), j).alias("q")))
-    dealt = dealt.withColumn("_t", F.explode(tiles)).withColumn("cell", F.xxhash64("group", "_t.p", "_t.q").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    dealt = dealt.select("cell", "list", "_n", "size", "rank", "label")
+    few = rows.filter(F.col("_all") <= SLICE)
+    least = few.groupBy(F.col("_n").alias("_m")).agg(F.min("list").alias("_least"))
+    group = few.join(least, F.col("_n") == F.col("_m")).groupBy(F.col("list").alias("_l")).agg(F.min("_least").alias("group"), F.first("_all").alias("_rows"))
+    cells = group.groupBy(F.col("group").alias("_g")).agg(F.ceil(F.sum("_rows") / ROWS).alias("_cells"))
+    place = group.join(cells, F.col("group") == F.col("_g")).select("_l", F.xxhash64("group", F.pmod(F.xxhash64("_l"), F.col("_cells"))).alias("_cell"))
+    small = few.join(place, F.col("list") == F.col("_l")).select("_cell", *columns)
+    # tiles: (0, p, j) others p against the largest component's slice j; (1, p, q) others among themselves
+    many = rows.filter(F.col("_all") > SLICE).withColumn("_p", F.ceil((F.col("_all") - F.col("_most")) / SLICE).cast("int")).withColumn("_q", F.ceil(F.col("_most") / SLICE).cast("int"))
+    own = F.pmod(F.xxhash64("_n"), F.when(F.col("_major"), F.col("_q")).otherwise(F.col("_p"))).cast("int")
+    all_p, all_q = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("_p", "_q"))
+
+    def tile(kind: int, p, q):
+        return F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"))
+
+    def tiles(i):
+        across = F.transform(all_q, lambda j: tile(0, i, j))
+        among = F.transform(all_p, lambda j: tile(1, F.least(i, j), F.greatest(i, j)))
+        return F.when(F.col("_major"), F.transform(all_p, lambda j: tile(0, j, i))).otherwise(F.concat(across, among))
+
+    large = many.withColumn("_t", F.explode(F.element_at(F.transform(F.array(own), tiles), 1)))
+    large = large.select(F.xxhash64("list", "_t.kind", "_t.p", "_t.q").alias("_cell"), *columns)
+    dealt = small.unionByName(large).select(F.col("_cell").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("cell"), *columns)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -407,9 +456,7 @@ def _frequent(blocks: DataFrame, k: int, n_buckets: int) -> np.ndarray:
 
     def halves(block: B.Block):
         s = Sets(block, k)
-        lead = np.zeros(block.n, bool)
-        lead[s.leaders()] = True
-        half, df = np.unique((s.gram[lead[s.doc] & (s.gram < below)] >> G.U(32)).astype(np.uint32), return_counts=True)
+        half, df = np.unique((s.gram[s.leads()[s.doc] & (s.gram < below)] >> G.U(32)).astype(np.uint32), return_counts=True)
         edge = np.searchsorted(half, (np.arange(n_buckets + 1) * (float(below >> G.U(32)) + 1) / n_buckets).astype(np.uint64))
         for bucket in np.flatnonzero(np.diff(edge)):
             mine = slice(edge[bucket], edge[bucket + 1])
@@ -439,8 +486,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     """Per document: doc_id, n_shingles (distinct word k-grams), component_id (the smallest doc_id reachable by links, itself included).
 
     A text of fewer than k words is its whole word sequence as one n-gram; one without words (or null) has an empty set and
-    links with nothing. Rows that repeat an id are one node, compared by the first of them with words; rows without an id link as others do and
-    never name a component (null when alone). One row per input row; other columns are ignored; an empty table gives no rows.
+    links with nothing. Every row is a document of its own, whatever its id: rows that repeat an id are compared each by its own text, rows without an id
+    link as others do and never name a component (null where no member has an id). One row per input row; other columns are ignored; an empty
+    table gives no rows.
     """
     blocks = B.build(docs, id_col, text_col)
     total = blocks.agg(F.sum("n_bytes")).first()
@@ -451,17 +499,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = B.Block(blob.as_py())
                 s = Sets(block, k)
-                arrays = [pa.array(np.full(block.n, number), pa.int64()), block.ids.cast(pa.int64()), pa.array(s.node, pa.int64()), pa.array(s.size, pa.int64()), pa.array(s.digest[0].view(np.int64), pa.int64()), pa.array(s.digest[1].view(np.int64), pa.int64())]
+                arrays = [pa.array(np.full(block.n, number), pa.int64()), s.ids, pa.array(s.node, pa.int64()), pa.array(s.size, pa.int64()), pa.array(s.digest[0].view(np.int64), pa.int64()), pa.array(s.digest[1].view(np.int64), pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "doc_id", "node", "size", "d0", "d1"])
 
     described = blocks.select("block", "blob").mapInArrow(describe, "block long, doc_id long, node long, size long, d0 long, d1 long")
     described = materialize(described, "described")
 
-    heavy = _frequent(blocks, k, n_buckets)
+    heavy = Heavy(_frequent(blocks, k, n_buckets))
 
     def prefixes(block: B.Block):
         s = Sets(block, k)
-        gram, doc, rank = _prefixes(s, s.leaders(), heavy, percent)
+        gram, doc, rank = _prefixes(s, heavy, percent)
         gram = G.spread(gram)
         order = np.argsort(gram, kind="stable")
         gram, doc, rank = gram[order], doc[order], rank[order]
@@ -474,7 +522,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
     answers = materialize(B.answer(B.ask(blocks, prefixes), _lists(percent)), "lists")
     pairs = _pair_rows(answers.filter(F.col("block") == PAIRS)).distinct()
-    nodes = described.filter("size > 0").groupBy("node").agg(F.min("block").alias("block"), F.max("size").alias("size"))
+    nodes = described.filter("size > 0").select("node", "block", "size")
     links = materialize(_verify(pairs, nodes, blocks, k, percent), "links")
     lists = answers.filter(F.col("block") == LIST).withColumn("list", F.xxhash64("payload"))
     if lists.limit(1).count():
@@ -485,10 +533,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     some = described.filter("size > 0")
     leader = some.groupBy("d0", "d1", "size").agg(F.min("node").alias("_lead"))
     same = [F.col(f"s.{c}") == F.col(f"l.{c}") for c in ("d0", "d1", "size")]
-    # a row that repeats an id joins its classes too
-    spread = some.select("node", "d0", "d1", "size").distinct().alias("s").join(leader.alias("l"), same[0] & same[1] & same[2])
+    spread = some.alias("s").join(leader.alias("l"), same[0] & same[1] & same[2])
     links = links.unionByName(spread.filter("node <> _lead").select(F.col("_lead").alias("a"), F.col("node").alias("b")))
-    found = components(links)
-    joined = described.alias("d").join(found.alias("c"), (F.col("d.node") == F.col("c.node")) & (F.col("d.size") > 0), "left")
-    named = F.coalesce("c.component", "d.doc_id")
-    return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(named >= F.lit(2**62), F.lit(None)).otherwise(named).alias("component_id"))
+    found = materialize(components(links), "components")
+    names = found.join(described.select(F.col("node").alias("_n"), "doc_id"), F.col("node") == F.col("_n")).groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_name"))
+    named = found.join(names, F.col("component") == F.col("_c")).select(F.col("node").alias("_n"), "component", "_name")
+    joined = described.join(named, F.col("node") == F.col("_n"), "left")
+    return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_name")).alias("component_id"))
