@@ -156,13 +156,29 @@ def test_exact_dedup_of_rows_without_ids(spark):
     assert got == sorted([(None, 7, 4, False), (None, 7, 4, False), (7, 7, 4, True), (7, 7, 4, True), (None, None, 1, True)], key=str)
 
 
-@given(st.lists(st.binary(max_size=6).map(lambda b: bytes(x % 3 for x in b)), max_size=40))
+@given(st.lists(st.binary(max_size=6).map(lambda b: bytes(x % 3 for x in b)), max_size=40), st.sampled_from([b"", b"h" * 5000]))
 @settings(deadline=None, max_examples=60)
-def test_spilling_trie(keys):
-    trie = exactdup.SpillingTrie(lambda a, b: a + b, memory=600)
-    for k in keys:
-        trie.insert(k, 1)
-    assert dict(trie.items()) == dict(collections.Counter(keys))
+def test_spilling_trie(keys, prefix):
+    """Every key is in the trie or comes back, rounds end, and equal keys meet; a shared prefix of 5 kB changes nothing."""
+    got, waiting, rounds = collections.Counter(), [(prefix + k, 1) for k in keys], 0
+    while waiting:
+        trie = exactdup.SpillingTrie(lambda a, b: a + b, memory=6000)
+        waiting = [x for k, n in waiting for x in trie.insert(k, n)]
+        found = dict(trie.items())
+        assert not set(found) & set(got)
+        got.update(found)
+        rounds += 1
+        assert rounds <= len(keys) + 1
+    assert got == collections.Counter(prefix + k for k in keys)
+
+
+def test_exact_dedup_with_spills(docs, corpus):
+    owners = exactdup.exact_owners(docs, memory=2000).collect()
+    groups = collections.defaultdict(list)
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for r in corpus:
+        groups[(r[1] or "").translate(fold)].append(r[0])
+    assert sorted((r.length, r.keep_id, r.group_size) for r in owners) == sorted((len(t.encode()), min(ids), len(ids)) for t, ids in groups.items())
 
 
 def test_url_rules(spark):

@@ -1,11 +1,13 @@
 """Operator 3, exact dedup: owners in Patricia tries.
 
-Texts are partitioned by (length, content hash); each partition inserts whole byte strings into
-compressed radix tries, whose terminal nodes hold the identifier that stays and the number
+Texts are partitioned by (length, content hash), in partitions of bounded bytes; each inserts whole byte strings into
+a compressed radix trie, whose terminal nodes hold the identifier that stays and the number
 of rows. Equality is decided by the trie, byte by byte. Blocks of input rows first merge their
-own equal texts, so a text that a third of all rows hold is shipped once per task's batch. A trie that
-outgrows its memory spills: the largest subtree under the root goes to a file, later strings
-of that subtree are appended, and the file is worked through as a trie of its own.
+own equal texts, so a text that a third of all rows hold is shipped once per task's batch.
+
+A trie that outgrows its memory spills by subtree: below its first branching point the largest subtree is cut off, and its strings, with those that
+come later, leave the task as rows. They are written with the round's owners to shared storage and are the next
+round's input, over twice as many partitions, until none is left. No task keeps a file of its own.
 
 Rows then learn their owner by an equi-join on (length, SHA-256); the owner side is unique per key,
 so Spark can split a hot key of the row side.
@@ -14,21 +16,24 @@ so Spark can split a hot key of the row side.
 from __future__ import annotations
 
 import hashlib
-import pickle
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.scratch import materialize
 from waymark.llm.suffixes import common_prefix
 
 MEMORY = 96 << 20
+PARTITION = 48 << 20  # bytes of text, at most about so many in a partition of the first round
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+NODE = 200  # bytes a node counts besides its edge label
+
+
 class Patricia:
     """Compressed radix trie over byte strings. A node is [children by first byte, value]; a child is (edge label, node)."""
 
@@ -42,7 +47,7 @@ class Patricia:
             if child is None:
                 leaf = [{}, None]
                 node[0][key[at]] = (key[at:], leaf)
-                self.size += len(key) - at + 200
+                self.size += len(key) - at + NODE
                 node, at = leaf, len(key)
                 break
             label, below = child
@@ -52,13 +57,36 @@ class Patricia:
             common = common_prefix(label, key[at : at + len(label)])
             middle = [{label[common]: (label[common:], below)}, None]
             node[0][key[at]] = (label[:common], middle)
-            self.size += 200
+            self.size += NODE
             node, at = middle, at + common
         node[1] = value if node[1] is None else self.merge(node[1], value)
 
     def items(self) -> Iterator[tuple[bytes, object]]:
         return _items(self.root, b"")
 
+    def cut(self) -> tuple[bytes, list] | None:
+        """Take the largest subtree below the first branching point away: the prefix all its strings share, and its top node."""
+        node, prefix = self.root, b""
+        while node[1] is None and len(node[0]) == 1:
+            label, node = next(iter(node[0].values()))
+            prefix += label
+        if not node[0]:
+            return None  # a single string
+        sizes = {byte: _size(label, below) for byte, (label, below) in node[0].items()}
+        byte = max(sizes, key=sizes.get)
+        label, below = node[0].pop(byte)
+        self.size -= sizes[byte]
+        return prefix + label, below
+
+
+def _size(label: bytes, node: list) -> int:
+    total, stack = len(label) + NODE, [node]
+    while stack:
+        for edge, below in stack.pop()[0].values():
+            total += len(edge) + NODE
+            stack.append(below)
+    return total
+
 
 def _items(node: list, prefix: bytes) -> Iterator[tuple[bytes, object]]:
     stack = [(node, prefix)]
@@ -70,52 +98,26 @@ def _items(node: list, prefix: bytes) -> Iterator[tuple[bytes, object]]:
 
 
 class SpillingTrie:
-    """A Patricia trie within `memory` bytes; subtrees (by byte number `depth` and those before it) spill to files."""
+    """A Patricia trie within `memory` bytes. Strings of subtrees that were cut off come back from `insert`."""
 
-    def __init__(self, merge, memory: int = MEMORY, depth: int = 0):
-        self.merge, self.memory, self.depth = merge, memory, depth
-        self.trie = Patricia(merge)
-        self.held: dict[int, int] = {}
-        self.files: dict[int, object] = {}
+    def __init__(self, merge, memory: int = MEMORY):
+        self.memory, self.trie = memory, Patricia(merge)
+        self.gone: dict[int, set[bytes]] = {}  # prefixes of cut subtrees by length
 
-    def insert(self, key: bytes, value) -> None:
-        branch = key[self.depth] if self.depth < len(key) else -1
-        if branch in self.files:
-            pickle.dump((key, value), self.files[branch], protocol=5)
+    def insert(self, key: bytes, value) -> Iterator[tuple[bytes, object]]:
+        """Strings (with their values) that have no place here."""
+        if any(key[:n] in prefixes for n, prefixes in self.gone.items()):
+            yield key, value
             return
-        before = self.trie.size
         self.trie.insert(key, value)
-        self.held[branch] = self.held.get(branch, 0) + self.trie.size - before
-        if self.trie.size > self.memory and len(key) > self.depth:
-            self._spill()
-
-    def _spill(self) -> None:
-        branch = max((b for b in self.held if b >= 0), key=self.held.get, default=None)
-        if branch is None:
-            return
-        file = tempfile.TemporaryFile()
-        rest = Patricia(self.merge)
-        for key, value in self.trie.items():
-            if self.depth < len(key) and key[self.depth] == branch:
-                pickle.dump((key, value), file, protocol=5)
-            else:
-                rest.insert(key, value)
-        self.trie, self.files[branch] = rest, file
-        self.held.pop(branch)
+        if self.trie.size > self.memory:
+            while self.trie.size > self.memory // 2 and (taken := self.trie.cut()):
+                prefix, node = taken
+                self.gone.setdefault(len(prefix), set()).add(prefix)
+                yield from _items(node, prefix)
 
     def items(self) -> Iterator[tuple[bytes, object]]:
-        yield from self.trie.items()
-        self.trie = Patricia(self.merge)
-        for file in self.files.values():
-            file.seek(0)
-            below = SpillingTrie(self.merge, self.memory, self.depth + 1)
-            while True:
-                try:
-                    below.insert(*pickle.load(file))
-                except EOFError:
-                    break
-            file.close()
-            yield from below.items()
+        return self.trie.items()
 
 
 def _merge(keep: str):
@@ -128,10 +130,10 @@ def _merge(keep: str):
     return merge
 
 
-OWNERS = "length long, sha256 string, keep_id long, group_size long"
+OWNERS = "length long, sha256 string, keep_id long, group_size long, text binary"
 
 
-def exact_owners(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", fold_case: bool = True) -> DataFrame:
+def exact_owners(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", fold_case: bool = True, memory: int = MEMORY) -> DataFrame:
     """One row per distinct text: (length, sha256, keep_id, group_size). Null texts are empty texts; A-Z fold to a-z if `fold_case`."""
     merge = _merge(keep)
 
@@ -153,23 +155,34 @@ def exact_owners(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id"
         yield from _texts(held)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = SpillingTrie(merge)
+        trie, rows, size = SpillingTrie(merge, memory), [], 0
         for batch in batches:
             for text, number, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                trie.insert(text, (number, count))
-        rows = []
+                for spilled, (a, n) in trie.insert(text, (number, count)):
+                    rows.append((len(spilled), None, a, n, spilled))
+                    size += len(spilled)
+                    if size > 8 << 20:
+                        yield _owners(rows)
+                        rows, size = [], 0
         for text, (number, count) in trie.items():
-            rows.append((len(text), hashlib.sha256(text).hexdigest(), number, count))
-            if len(rows) == 10_000:
+            rows.append((len(text), hashlib.sha256(text).hexdigest(), number, count, None))
+            if len(rows) >= 10_000:
                 yield _owners(rows)
                 rows = []
         yield _owners(rows)
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    texts = rows.mapInArrow(distinct, "text binary, id long, n long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = texts.repartition(parts, F.length("text"), F.xxhash64("text"))
-    return spread.mapInArrow(own, OWNERS)
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
+    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(distinct, "text binary, id long, n long")
+    owners = None
+    while True:
+        made = materialize(texts.repartition(parts, F.length("text"), F.xxhash64("text")).mapInArrow(own, OWNERS), "owners")
+        done = made.filter("sha256 is not null").drop("text")
+        owners = done if owners is None else owners.unionByName(done)
+        texts = made.filter("sha256 is null").select("text", F.col("keep_id").alias("id"), F.col("group_size").alias("n"))
+        if not texts.limit(1).count():
+            return owners
+        parts *= 2
 
 
 def _texts(held: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +191,9 @@ def _texts(held: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _owners(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["length", "sha256", "keep_id", "group_size"])
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["length", "sha256", "keep_id", "group_size", "text"])
 
 
 def fold(text, fold_case: bool = True):

@@ -40,6 +40,7 @@ GRAMS_PER_CELL = 4_000_000
 GRAMS_PER_FRAGMENT = 500_000
 SLICE = 4_000
 ROWS = 4_000
+SALTS = 16
 PREFIX_TEXT = 40 << 20
 
 
@@ -529,11 +530,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
         rest = _left_apart(lists, components(links.toDF("a", "b")), nodes, blocks, k, percent)
         links = links.unionByName(materialize(rest, "rest"))
     links = links.toDF("a", "b")
-    # copies: equal sets share a class; its smallest node stood for it
-    some = described.filter("size > 0")
-    leader = some.groupBy("d0", "d1", "size").agg(F.min("node").alias("_lead"))
-    same = [F.col(f"s.{c}") == F.col(f"l.{c}") for c in ("d0", "d1", "size")]
-    spread = some.alias("s").join(leader.alias("l"), same[0] & same[1] & same[2])
+    # copies: equal sets share a class; its smallest node stood for it. A class may hold a third of all rows: its leader is one row per salt
+    some = described.filter("size > 0").withColumn("salt", F.pmod("node", F.lit(SALTS)))
+    leader = some.groupBy("d0", "d1", "size").agg(F.min("node").alias("_lead"), F.count("*").alias("_rows")).filter("_rows > 1")
+    leader = leader.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    same = [F.col(f"s.{c}") == F.col(f"l.{c}") for c in ("d0", "d1", "size", "salt")]
+    spread = some.alias("s").join(leader.alias("l"), same[0] & same[1] & same[2] & same[3])
     links = links.unionByName(spread.filter("node <> _lead").select(F.col("_lead").alias("a"), F.col("node").alias("b")))
     found = materialize(components(links), "components")
     names = found.join(described.select(F.col("node").alias("_n"), "doc_id"), F.col("node") == F.col("_n")).groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("_name"))

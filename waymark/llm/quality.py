@@ -78,8 +78,8 @@ def count(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame, text_col: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
-    """`columns` of docs with the counts; a null text has none of anything."""
+def measure(docs: DataFrame, text_col: str = "text", columns: tuple[str, ...] | None = None, keep_text: bool = False) -> DataFrame:
+    """`columns` of docs (and the text, as `_text`, if wanted) with the counts; a null text has none of anything."""
     columns = tuple(columns or [c for c in docs.columns if c != text_col and c not in COUNTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +89,11 @@ def measure(docs: DataFrame, text_col: str = "text", columns: tuple[str, ...] |
                 piece = batch.slice(at, step)
                 text = piece.column(piece.num_columns - 1)
                 found = count(Block.of(pa.nulls(len(text), pa.int64()), text))
-                arrays = [*piece.columns[:-1], *(pa.array(found[c], pa.int64()) for c in COUNTS)]
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, *COUNTS])
+                arrays = [*piece.columns[: len(schema) - len(COUNTS)], *(pa.array(found[c], pa.int64()) for c in COUNTS)]
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     rows = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    schema = T.StructType([*rows.schema.fields[: None if keep_text else -1], *(T.StructField(c, T.LongType()) for c in COUNTS)])
     return rows.mapInArrow(run, schema)
 
 
@@ -167,17 +167,17 @@ def verdict() -> Column:
     return ~bad
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, min_words: int = 20, max_repeat_pct: int = 30, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`columns` with the counts, base_failed and kept.
+def judge(docs: DataFrame, min_group: int = MIN_GROUP, min_words: int = 20, max_repeat_pct: int = 30, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", columns: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
+    """`columns` (and the text, as `_text`, if wanted) with the counts, base_failed and kept.
 
     One row per input row, equal ids and repeated rows included; a null text fails the base rule; null languages
     and sources are groups of their own; other columns are ignored; an empty table gives no rows.
     """
     extra = [c for c in columns if c not in (lang_col, source_col)]
-    rows = measure(docs.select(*extra, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "text", (*extra, "lang", "source"))
+    rows = measure(docs.select(*extra, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "text", (*extra, "lang", "source"), keep_text)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     rows = materialize(rows.withColumn("base_failed", failed), "measured")
     level = materialize(limits(sketches(rows), min_group), "limits")
     joined = rows.alias("d").join(level.alias("t"), F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source")), "left")
     kept = F.when(F.col("base_failed"), False).otherwise(verdict())
-    return joined.select(*(F.col(f"d.{c}") for c in extra), *(c for c in COUNTS if c != "n_lines"), "base_failed", kept.alias("kept"))
+    return joined.select(*(F.col(f"d.{c}") for c in (*extra, *["_text"] * keep_text)), *(c for c in COUNTS if c != "n_lines"), "base_failed", kept.alias("kept"))
