@@ -16,15 +16,12 @@ from waymark.llm.queries import tokenizer_path
 from waymark.llm.scratch import materialize
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id (a missing one too) is among ids."""
-    wanted = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or lie outside the limits of their language and source go."""
-    return _keep(docs, quality.judge(docs).filter("kept"))
+    """Documents that fail the base rule or lie outside the limits of their language and source go. Each row is judged by its own text."""
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("_rest"), "lang", "source", "text")
+    kept = quality.judge(rows, columns=("_rest",), keep_text=True).filter("kept")
+    return kept.select(*(F.col("_text").alias("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +33,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n-gram Jaccard join on five words at 0.8; the smallest doc_id of each group of linked documents stays."""
-    found = jaccard.near_duplicates(docs, k=5, percent=80)
-    return _keep(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """n-gram Jaccard join on five words at 0.8; of each group of linked documents one row stays, that with the smallest doc_id.
+
+    Rows are told apart by a number of their own, so rows that repeat an id or have none are compared like all others; a row with an id stays before one without.
+    """
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered")
+    found = jaccard.near_duplicates(numbered.select("row", "doc.text"), k=5, percent=80, id_col="row").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = numbered.select("row", "doc.doc_id").join(found, F.col("row") == F.col("_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stays = ids.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("_row"))
+    return numbered.join(stays, F.col("row") == F.col("_row"), "left_semi").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
