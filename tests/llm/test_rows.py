@@ -1,13 +1,14 @@
 """Registered orders and row keys: trigrams, and rows that repeat an id or have none."""
 
 import collections
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import SCHEMA, _corpus, _jaccard
-from waymark.llm import jaccard, mixing, packing, queries
+from tests.llm.test_operators import SCHEMA, _corpus, _jaccard, _passages
+from waymark.llm import jaccard, mixing, packing, queries, substrings
 from waymark.llm.queries import tokenizer_path
 
 
@@ -81,3 +82,21 @@ def test_jaccard_join_compares_rows_not_ids(spark):
     rows = [(5, one), (5, two), (9, two), (2**62 + 3, one), (None, one), (None, "alone with these five words")]
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == collections.Counter([(5, 37, 5), (5, 37, 5), (9, 37, 5), (2**62 + 3, 37, 5), (None, 37, 5), (None, 2, None)])
+
+
+def test_removed_texts_go_to_their_rows(spark):
+    passage, tail = " ".join(f"p{i}" for i in range(20)), " ".join(f"t{i}" for i in range(14))
+    rows = [(2, passage + " a", "x"), (2, tail, "x"), (None, "b " + passage, "x"), (None, tail + " c", "x"), (1, passage, "x"), (3, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = substrings.removed_texts(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(2, "a", "x"), (2, tail, "x"), (None, "b", "x"), (None, "c", "x"), (1, passage, "x"), (3, "", "x")], key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 3, 6])
+def test_matches_are_extended_both_ways(spark, seed):
+    """Few distinct words, so seeds are shared and most spans differ; every run is held against brute force."""
+    rnd = random.Random(seed)
+    rows = [(i, " ".join(rnd.choice("ab" if i % 3 else "abc") for _ in range(rnd.randint(0, 60)))) for i in range(60)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 6, min(seed, 6)).collect()}
+    assert got == _passages(rows, 6)

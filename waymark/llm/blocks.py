@@ -107,14 +107,14 @@ def _cut(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of whole documents: (block, n_docs, n_bytes, blob). Every row is kept, nulls included."""
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
+    """Blocks of whole documents: (block, n_docs, n_bytes, blob). Every row is kept, nulls included. Rows get numbers of their own, or those in `row_col`."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         row = part << 36
         for batch in batches:
-            table = pa.table({"id": batch.column(0), "text": batch.column(1).cast(pa.large_string()), "row": np.arange(row, row + len(batch))})
+            table = pa.table({"id": batch.column(0), "text": batch.column(1).cast(pa.large_string()), "row": batch.column(2) if row_col else np.arange(row, row + len(batch))})
             row += len(batch)
             lengths = np.asarray(pa.compute.binary_length(table["text"]).fill_null(0)) if len(table) else np.zeros(0, np.int64)
             for a, b in _cut(lengths, block_bytes):
@@ -125,7 +125,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
                 yield pa.RecordBatch.from_pydict({"block": pa.array([(part << 32) + made], pa.int64()), "n_docs": pa.array([b - a], pa.int32()), "n_bytes": pa.array([int(lengths[a:b].sum())], pa.int64()), "blob": pa.array([blob], pa.binary())})
                 made += 1
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).cast("long").alias("row")] if row_col else []))
     return materialize(rows.mapInArrow(make, "block long, n_docs int, n_bytes long, blob binary"), "blocks", "uncompressed")
 
 

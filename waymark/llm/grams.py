@@ -15,6 +15,7 @@ from waymark.llm.blocks import Block
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+STEP = 2 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -90,16 +91,20 @@ class Words:
         self.n = len(self.starts)
         self.doc = np.repeat(np.arange(block.n), np.diff(self.first))
         self.lengths = self.ends - self.starts
-        self.hashes = []
-        if self.n:
-            letters = data[word]
-            at = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-            place = np.arange(len(letters)) - np.repeat(at, self.lengths)
+        self.hashes = [np.zeros(self.n, U) for _ in range(families)]
+        # some bytes at a time: a long text's letters need eight-byte numbers each
+        cuts = np.searchsorted(self.starts, np.arange(0, len(data) + STEP, STEP)) if families else np.zeros(0, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            size = self.lengths[a:b]
+            part = slice(self.starts[a], self.ends[b - 1])
+            letters = data[part][word[part]]
+            at = np.concatenate(([0], np.cumsum(size)[:-1]))
+            place = np.arange(len(letters)) - np.repeat(at, size)
             for family in range(families):
-                table, by_place = mix(constants(256, 11 + family)), constants(int(self.lengths.max()), 21 + family)
-                self.hashes.append(mix(np.add.reduceat(table[letters] * by_place[place], at) + self.lengths.astype(U)))
-        else:
-            self.hashes = [np.zeros(0, U)] * families
+                table, by_place = mix(constants(256, 11 + family)), constants(int(size.max()), 21 + family)
+                self.hashes[family][a:b] = mix(np.add.reduceat(table[letters] * by_place[place], at) + size.astype(U))
 
     def left(self) -> np.ndarray:
         """Words from each word to the end of its document, itself included."""

@@ -4,15 +4,16 @@ A passage of at least `window` words counts as repeated when the same words star
 in a document with a smaller id. Seeds are word `seed`-grams picked by winnowing:
 each run of `window` words picks its smallest-hash seed, so two equal runs pick
 the same seed at the same place. Joining documents on seeds therefore finds every
-repeat. From a shared seed the match is extended both ways over the span of all
-runs that picked it:
+repeat. Documents that share a seed are joined in its bucket, in two rounds:
 
-* the whole span is equal in a document with a smaller id: it is a maximal piece
-  of the repeat, and neighbouring pieces merge in `grams.union`;
-* the seed is shared but the span is not: the match ends inside this span, and a
-  second round looks at each run of the span on its own.
+* whole spans first. A seed's span covers all runs that picked it. Where an equal span starts in a document
+  with a smaller id, all of it is repeated, and nothing needs extending;
+* seeds whose spans differ are extended. Blocks send the words left and right of the seed (their hashes); in the bucket
+  matches grow from the seed word by word both ways: texts that agree on l words to the left and window - seed - l
+  to the right share a run, and the smallest id among them owns it.
 
-Only the smallest id per (seed, span) leaves a block, and only it asks again, so
+Runs that are repeated merge with their neighbours (`grams.union`), which leaves the maximal repeats of at least `window` words.
+Only the smallest id per (seed, span) leaves a block, and only it is extended, so
 copies cost one entry per block, and no pairs are made.
 """
 
@@ -23,12 +24,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from waymark.llm import blocks as B
 from waymark.llm import grams as G
+from waymark.llm.scratch import materialize
 
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,last:long>>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
+SCHEMA = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,last:long>>"
+_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
 
 
 class _Seeds:
@@ -41,6 +44,7 @@ class _Seeds:
         starts = np.flatnonzero(w.left() >= window) if w.n else np.zeros(0, np.int64)
         hashes = G.grams(w.hashes[0], seed, 0)
         at, self.lo, self.hi = G.anchors(hashes, window - seed + 1, starts)
+        self.at = at
         self.doc = w.doc[at] if len(at) else at
         key = G.spread(hashes[at])
         self.spans = (G.Spans(w.hashes[0], 0), G.Spans(w.hashes[1], 1))
@@ -94,67 +98,119 @@ def _owners(block_of: list[int], payloads: list[tuple]):
             yield block, B.pack(smaller.astype(np.uint32), owner_of[mine][smaller], again.astype(np.uint32))
 
 
-def _read(answers: dict[int, tuple], edge: np.ndarray, least: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _read(answers: dict[int, tuple], edge: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     owner, again = least.copy(), np.zeros(len(least), bool)
-    for bucket, (smaller, owners, more) in answers.items():
-        if (bucket >= B.SECOND) == bool(shift):
-            at = edge[bucket - shift]
-            owner[at + smaller] = owners
-            again[at + more] = True
+    for bucket, (smaller, owners, more) in ((b, a) for b, a in answers.items() if b < B.SECOND):
+        at = edge[bucket]
+        owner[at + smaller] = owners
+        again[at + more] = True
     return owner, again
 
 
-class _Runs:
-    """Runs of `window` words on their own, of the seeds that must be looked at again."""
-
-    def __init__(self, seeds: _Seeds, again: np.ndarray):
-        take = seeds.order[again[seeds.of] & (seeds.own[seeds.order] == seeds.least[seeds.of])] if len(seeds.order) else seeds.order
-        n = seeds.hi[take] - seeds.lo[take] + 1
-        self.start = np.repeat(seeds.lo[take], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        end = self.start + seeds.window
-        self.key_all, self.span_all = seeds.spans[0].hash(self.start, end), seeds.spans[1].hash(self.start, end)
-        self.own = seeds.ids[seeds.words.doc[self.start]] if len(self.start) else self.start
-        self.order, _ = G.groups(self.key_all, self.span_all, self.own)
-        _Seeds._group(self, self.key_all, self.span_all)
+class _Contexts:
+    """The seeds to extend: one entry per (seed, span), with the words on both sides that its runs reach."""
+
+    def __init__(self, seeds: _Seeds, again: np.ndarray, seed: int):
+        self.reach = reach = seeds.window - seed
+        self.group = np.flatnonzero(again)  # seeds.key ascends, so do the entries' keys
+        first = seeds.order[seeds.begin[self.group]] if len(self.group) else seeds.order[:0]
+        self.key, self.least = seeds.key[self.group], seeds.least[self.group]
+        at = seeds.at[first]
+        self.left, self.right = at - seeds.lo[first], seeds.hi[first] + seeds.window - at - seed
+        h = seeds.words.hashes[0]
+        step = np.arange(reach)
+        end = max(len(h) - 1, 0)
+        #: hashes of the words to the left, nearest first, and to the right; 0 beyond the span
+        self.words = [
+            np.where(step < self.left[:, None], h[np.clip(at[:, None] - 1 - step, 0, end)], G.U(0)) if len(at) else np.zeros((0, reach), G.U),
+            np.where(step < self.right[:, None], h[np.clip(at[:, None] + seed + step, 0, end)], G.U(0)) if len(at) else np.zeros((0, reach), G.U),
+        ]
+
+    def payloads(self, n_buckets: int):
+        edge = B.bounds(self.key, n_buckets)
+        for bucket in np.flatnonzero(np.diff(edge)):
+            mine = slice(edge[bucket], edge[bucket + 1])
+            yield int(bucket), B.pack(self.key[mine], self.least[mine], self.left[mine].astype(np.uint32), self.right[mine].astype(np.uint32), *(w[mine] for w in self.words))
+
+
+def _grown(start: np.ndarray, size: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Per depth 0, 1, ...: a class number for entries that agree on the seed and so many words on this side, -1 where the span is shorter."""
+    classes = [start]
+    for depth in range(1, words.shape[1] + 1):
+        out = np.full(len(start), -1, np.int64)
+        inside = np.flatnonzero(size >= depth)
+        order, begin = G.groups(classes[-1][inside], words[inside, depth - 1])
+        out[inside[order]] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+        classes.append(out)
+    return classes
+
+
+def _extend(block_of: list[int], payloads: list[tuple]):
+    """To each block, per entry and words left of the seed: does the run that begins there also start in a smaller id?"""
+    key, least, left, right, before, after = (np.concatenate([p[i] for p in payloads]) for i in range(6))
+    reach = before.shape[1]
+    seeds = np.unique(key, return_inverse=True)[1]
+    to_left, to_right = _grown(seeds, left, before), _grown(seeds, right, after)
+    gone = np.zeros((len(key), reach + 1), bool)
+    for l in range(reach + 1):
+        inside = np.flatnonzero((left >= l) & (right >= reach - l))
+        if not len(inside):
+            continue
+        order, begin = G.groups(to_left[l][inside], to_right[reach - l][inside])
+        owner = np.minimum.reduceat(least[inside][order], begin)
+        gone[inside[order], l] = least[inside][order] > np.repeat(owner, np.diff(np.append(begin, len(order))))
+    at = 0
+    for block, p in zip(block_of, payloads, strict=True):
+        mine = gone[at : at + len(p[0])]
+        at += len(p[0])
+        some = np.flatnonzero(mine.any(axis=1))
+        if len(some):
+            yield block, B.pack(some.astype(np.uint32), np.packbits(mine[some], axis=1))
 
 
-def repeated_passages(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per document: its words, how many lie in a run of `window` words that also starts in a document with a
     smaller id, the SHA-256 of the words that stay (joined by one space), and the removed spans (word numbers, last exclusive).
 
-    One row comes back per input row, whatever the id; other columns are ignored. A null
+    One row comes back per input row, whatever the id, with the number in `row_col`, if named, as `row`; other columns are ignored. A null
     or empty text has no words (and the hash of the empty string). Rows with equal ids never
     remove each other's words; a null id counts as larger than any other. An empty table gives no rows.
     """
     if not 0 < seed <= window:
         raise ValueError("seed must be between 1 and window")
-    blocks = B.build(docs, id_col, text_col)
+    blocks = B.build(docs, id_col, text_col, row_col=row_col)
     n_buckets = B.buckets_for(blocks)
 
     def first(block: B.Block):
         s = _Seeds(block, window, seed)
         yield from _payloads(s.key, s.span, s.least, n_buckets)
 
-    def again(block: B.Block, answers: dict[int, tuple]):
+    def contexts(block: B.Block, answers: dict[int, tuple]):
         s = _Seeds(block, window, seed)
-        r = _Runs(s, _read(answers, B.bounds(s.key, n_buckets), s.least)[1])
-        yield from _payloads(r.key, r.span, r.least, n_buckets)
+        yield from _Contexts(s, _read(answers, B.bounds(s.key, n_buckets), s.least)[1], seed).payloads(n_buckets)
 
     def result(block: B.Block, answers: dict[int, tuple]) -> pa.Table:
         s = _Seeds(block, window, seed)
         owner, more = _read(answers, B.bounds(s.key, n_buckets), s.least)
         gone = s.order[s.own[s.order] > owner[s.of]] if len(s.order) else s.order
-        begin, end = s.lo[gone], s.hi[gone] + window
-        r = _Runs(s, more)
-        owner, _ = _read(answers, B.bounds(r.key, n_buckets), r.least, B.SECOND)
-        late = r.order[r.own[r.order] > owner[r.of]] if len(r.order) else r.order
-        removed = G.union(s.words.n, np.concatenate((begin, r.start[late])), np.concatenate((end, r.start[late] + window)))
+        begin, end = [s.lo[gone]], [s.hi[gone] + window]
+        c = _Contexts(s, more, seed)
+        edge = B.bounds(c.key, n_buckets)
+        runs = np.zeros((len(s.begin), c.reach + 1), bool)
+        for bucket, (some, bits) in ((b - B.SECOND, a) for b, a in answers.items() if b >= B.SECOND):
+            runs[c.group[edge[bucket] + some]] = np.unpackbits(bits, axis=1, count=c.reach + 1).astype(bool)
+        # all places of an extended entry that have its smallest id; those with larger ids are gone already
+        late = np.flatnonzero((s.own[s.order] == s.least[s.of]) & runs.any(axis=1)[s.of]) if len(s.order) else s.order
+        which, l = np.nonzero(runs[s.of[late]])
+        start = s.at[s.order[late[which]]] - l
+        removed = G.union(s.words.n, np.concatenate((*begin, start)), np.concatenate((*end, start + window)))
         return _rows(block, s.words, removed)
 
     asked = B.ask(blocks, first)
     answers = B.materialize(B.answer(asked, _owners), "answers")
-    late = B.second(B.answer(B.ask_again(blocks, answers, again), _owners))
-    return B.finish(blocks, answers.unionByName(late), result, SCHEMA, _ARROW)
+    late = B.second(B.answer(B.ask_again(blocks, answers, contexts), _extend))
+    found = B.finish(blocks, answers.unionByName(late), result, SCHEMA, _ARROW)
+    return found if row_col else found.drop("row")
 
 
 def _rows(block: B.Block, words: G.Words, removed: np.ndarray) -> pa.Table:
@@ -171,16 +227,18 @@ def _rows(block: B.Block, words: G.Words, removed: np.ndarray) -> pa.Table:
             kept = [w for w, gone in zip(kept, mask.tolist(), strict=True) if not gone]
         spans.append(cut)
         shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-    return pa.table({"doc_id": block.ids.cast(pa.int64()), "n_words": np.diff(words.first), "n_removed": n_removed, "kept_sha256": shas, "spans": pa.array(spans, _ARROW.field("spans").type)})
+    return pa.table({"row": block.rows, "doc_id": block.ids.cast(pa.int64()), "n_words": np.diff(words.first), "n_removed": n_removed, "kept_sha256": shas, "spans": pa.array(spans, _ARROW.field("spans").type)})
 
 
-def removed_texts(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The texts without their repeated passages: words joined by one space. `passages` is what repeated_passages returned."""
-    from pyspark.sql import functions as F
+def removed_texts(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the texts that stay: words joined by one space. A null text becomes empty.
 
-    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    Rows are told apart by a number of their own, so rows that repeat an id or have none get their own text back; the smaller id still owns a passage.
+    """
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered")
+    found = repeated_passages(numbered.select("row", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{text_col}").alias("text")), window, seed, "id", "text", "row")
+    joined = numbered.join(found.select(F.col("row").alias("_row"), "spans"), F.col("row") == F.col("_row"))
+    words = F.filter(F.split(F.coalesce(F.col(f"doc.{text_col}"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     keep = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~F.exists("spans", lambda s: (x.i >= s.first) & (x.i < s.last)))
-    return docs.join(passages.select(F.col("doc_id").alias(id_col), "spans"), id_col).withColumn(text_col, F.array_join(F.transform(keep, lambda x: x.w), " ")).drop("spans")
-
-
-
+    text = F.array_join(F.transform(keep, lambda x: x.w), " ")
+    return joined.select(*(text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns))
