@@ -252,6 +252,8 @@ def test_warc_round_trip(spark):
     assert head.startswith(b"WARC/1.1\r\n") and body.endswith(long.encode() + b"\r\n\r\n")
     size = int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0])
     assert len(body) == size + 4
+    payloads = {r.page_id: bytes(r.payload) for r in warc.whole(spark, path).collect()}
+    assert payloads == {i: (html or "").encode() for i, _, html in rows}  # revisits too
     assert spark.read.parquet(f"{path}/payloads").count() == 5
 
 

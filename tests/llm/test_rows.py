@@ -1,6 +1,7 @@
 """Registered orders and row keys: trigrams, and rows that repeat an id or have none."""
 
 import collections
+import hashlib
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import SCHEMA, _corpus, _jaccard, _passages
-from waymark.llm import jaccard, mixing, packing, queries, substrings
+from waymark.llm import bytespans, jaccard, mixing, packing, queries, substrings, warc
 from waymark.llm.queries import tokenizer_path
 
 
@@ -100,3 +101,38 @@ def test_matches_are_extended_both_ways(spark, seed):
     rows = [(i, " ".join(rnd.choice("ab" if i % 3 else "abc") for _ in range(rnd.randint(0, 60)))) for i in range(60)]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 6, min(seed, 6)).collect()}
     assert got == _passages(rows, 6)
+
+
+@pytest.mark.parametrize("chunk", [64, 150, 1 << 21])
+def test_repeated_bytes_with_production_parameters(spark, chunk):
+    """200-byte strings and 100-byte seeds; strings of a text are picked for in chunks, whatever its length."""
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdé ") for _ in range(3000))
+    texts = [base, base[500:1400] + "tail", "head" + base[900:1099], "x" * 450, "yé" * 260, base[:199], None, ""]
+    texts += [base[a : a + rnd.randint(150, 500)] + base[b : b + rnd.randint(150, 500)] for a, b in ((rnd.randrange(2500), rnd.randrange(2500)) for _ in range(12))]
+    count = collections.Counter(b[j : j + 200] for t in texts for b in [(t or "").encode()] for j in range(len(b) - 199))
+    want = {}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - 199):
+            if count[b[j : j + 200]] > 1:
+                gone[j : j + 200] = b"\1" * 200
+        want[i] = (len(b), sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in bytespans.repeated_bytes(docs, chunk=chunk).collect()} == want
+
+
+def test_warc_of_repeated_ids_odd_urls_and_nothing(spark):
+    long = "é" * 80
+    rows = [(1, "http://a\r\nX: y", long), (1, "http://é", long), (2, None, long), (None, "u", long), (None, "v", long), (-3, "w", "z" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("header", F.lit(1))
+    path = warc.write(pages)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read(spark, path).collect()), key=str)
+    assert got == sorted([(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "revisit", 1), (None, "revisit", 1), (-3, "response", None)], key=str)
+    records = [bytes(r.record) for r in warc.whole(spark, path).collect()]
+    ids = [r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for r in records]
+    assert len(set(ids)) == len(rows) and sum(b"http://a%0D%0AX: y" in r for r in records) == 1
+    told = {r.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0] for r in records if b"Refers-To" in r}
+    assert len(told) == 1 and told < set(ids)
+    assert warc.read(spark, warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0

@@ -4,10 +4,9 @@ A byte goes when a string of `size` bytes that covers it also starts anywhere el
 the corpus, the same document included. Each such string picks, by winnowing, one seed of
 `seed` bytes inside it; equal strings pick it at the same place. So:
 
-1. seeds that occur once in the corpus drop out (round one, hashes only). Across blocks, seeds with
-   equal 64-bit hashes count as equal; their bytes are not compared;
-2. for the others, blocks send the bytes left and right of the seed that its strings span,
-   equal contexts of a block once. In the bucket of the seed, deep-shallow sorting
+1. seeds that occur once in the corpus drop out (round one, 64-bit hashes only, which may let some pass);
+2. for the others, blocks send the bytes left and right of the seed that its strings span, with 128 bits
+   of the seed's BLAKE2 digest, equal contexts of a block once. In the bucket of the seed, deep-shallow sorting
    (`suffixes.sort`) builds two suffix arrays with their common prefixes: of the bytes to
    the right, and of the reversed bytes to the left;
 3. a string that begins l bytes before its seed occurs elsewhere iff another context is in
@@ -32,6 +31,7 @@ from waymark.llm import suffixes
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPANS)])
+CHUNK = 2 << 20  # strings of a block that seeds are picked for at once
 BLOCK_BYTES = 2 << 20  # a byte needs several eight-byte numbers while seeds are picked
 _BYTE = G.mix(G.constants(256, 41))
 
@@ -39,21 +39,11 @@ _BYTE = G.mix(G.constants(256, 41))
 class _Seeds:
     """Picked seeds of a block: key, place, and the first and last start of the strings that picked them."""
 
-    def __init__(self, block: B.Block, size: int, seed: int):
-        self.data, n = block.bytes, len(block.bytes)
+    def __init__(self, block: B.Block, size: int, seed: int, chunk: int):
+        self.data = block.bytes
         ends = block.offsets[1:]
-        lengths = np.diff(block.offsets)
-        count = np.maximum(lengths - size + 1, 0)
-        starts = np.repeat(block.offsets[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        if n >= size and len(starts):
-            up, down = G.POWERS[0].get(n + 1)
-            sums = np.zeros(n + 1, G.U)
-            np.cumsum(_BYTE[self.data] * up[:n], out=sums[1:])
-            hashes = G.mix((sums[seed:] - sums[:-seed]) * down[: n - seed + 1])
-        else:
-            hashes = np.zeros(0, G.U)
-        self.at, self.lo, self.hi = G.anchors(hashes, size - seed + 1, starts)
-        key = G.spread(hashes[self.at] if len(self.at) else hashes)
+        found = [self._picked(block, a, min(a + chunk, len(self.data)), size, seed) for a in range(0, len(self.data), chunk)]
+        self.at, self.lo, self.hi, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (*(np.zeros(0, np.int64),) * 3, np.zeros(0, G.U))
         self.order = np.argsort(key, kind="stable")
         new = np.ones(len(key), bool)
         new[1:] = key[self.order][1:] != key[self.order][:-1]
@@ -64,6 +54,28 @@ class _Seeds:
         self.size, self.seed, self.ends = size, seed, ends
 
 
+    def _picked(self, block: B.Block, a: int, b: int, size: int, seed: int) -> tuple[np.ndarray, ...]:
+        """Seeds of the strings that begin from a up to b. A long text's strings are picked for some at a time; where one seed
+        serves both sides of a cut it has two entries, each with strings of its own."""
+        end = min(b + size - 1, len(self.data))
+        part = self.data[a:end]
+        first = np.searchsorted(block.offsets, a, "right") - 1
+        last = np.searchsorted(block.offsets, b, "left")
+        low = np.maximum(block.offsets[first:last], a)
+        count = np.maximum(np.minimum(block.offsets[first + 1 : last + 1] - size + 1, b) - low, 0)
+        starts = np.repeat(low - a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        if len(starts):
+            n = len(part)
+            up, down = G.POWERS[0].get(n + 1)
+            sums = np.zeros(n + 1, G.U)
+            np.cumsum(_BYTE[part] * up[:n], out=sums[1:])
+            hashes = G.mix((sums[seed:] - sums[:-seed]) * down[: n - seed + 1])
+        else:
+            hashes = np.zeros(0, G.U)
+        at, lo, hi = G.anchors(hashes, size - seed + 1, starts)
+        return at + a, lo + a, hi + a, G.spread(hashes[at] if len(at) else hashes)
+
+
 class _Contexts:
     """Contexts of the seeds that occur more than once in the corpus; equal ones of the block once."""
 
@@ -85,6 +97,8 @@ class _Contexts:
         first = np.array(self.first, np.int64)
         self.key = s.key[group[first]] if len(first) else s.key[:0]
         self.many = np.bincount(self.of, minlength=len(first)) > 1
+        digests = b"".join(hashlib.blake2b(raw[a : a + s.seed], digest_size=16).digest() for a in self.at[first].tolist())
+        self.digest = np.frombuffer(digests, np.uint64).reshape(-1, 2)
         self.pieces = [(raw[a - l : a][::-1], raw[a + s.seed : a + s.seed + r]) for a, l, r in zip(self.at[first].tolist(), self.left[first].tolist(), self.right[first].tolist(), strict=True)]
 
 
@@ -162,7 +176,7 @@ def _equal(order: np.ndarray, shared: np.ndarray, size: np.ndarray) -> np.ndarra
     return out
 
 
-def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per document: bytes of its UTF-8 text, how many are covered by a string of `size` bytes that also starts
     anywhere else, the number of maximal removed runs, the SHA-256 of what stays, and the runs (last exclusive).
 
@@ -175,7 +189,7 @@ def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: st
     n_buckets = B.buckets_for(blocks)
 
     def seeds(block: B.Block):
-        s = _Seeds(block, size, seed)
+        s = _Seeds(block, size, seed, chunk)
         edge = B.bounds(s.key, n_buckets)
         for bucket in np.flatnonzero(np.diff(edge)):
             a, b = edge[bucket], edge[bucket + 1]
@@ -189,17 +203,20 @@ def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: st
         return shared
 
     def contexts(block: B.Block, answers: dict[int, tuple]):
-        s = _Seeds(block, size, seed)
+        s = _Seeds(block, size, seed, chunk)
         c = _Contexts(s, shared_of(s, answers))
         edge = B.bounds(c.key, n_buckets)
         for bucket in np.flatnonzero(np.diff(edge)):
             a, b = edge[bucket], edge[bucket + 1]
             pieces = c.pieces[a:b]
             ends = np.cumsum([[len(x), len(y)] for x, y in pieces], axis=0)
-            yield int(bucket), B.pack(c.key[a:b], c.many[a:b], b"".join(x for x, _ in pieces), b"".join(y for _, y in pieces), ends)
+            yield int(bucket), B.pack(c.digest[a:b], c.many[a:b], b"".join(x for x, _ in pieces), b"".join(y for _, y in pieces), ends)
 
     def sort_contexts(block_of: list[int], payloads: list[tuple]):
-        key, many = (np.concatenate([p[i] for p in payloads]) for i in (0, 1))
+        digest, many = (np.concatenate([p[i] for p in payloads]) for i in (0, 1))
+        order, begin = G.groups(digest[:, 0], digest[:, 1])
+        key = np.empty(len(digest), np.int64)
+        key[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
         left, right = [], []
         for _, _, x, y, ends in payloads:
             for data, out, column in ((x, left, 0), (y, right, 1)):
@@ -215,7 +232,7 @@ def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: st
                 yield block, B.pack(hit.astype(np.uint32), most[mine][hit].astype(np.uint16), fewest[mine][hit].astype(np.uint16))
 
     def result(block: B.Block, answers: dict[int, tuple]) -> pa.Table:
-        s = _Seeds(block, size, seed)
+        s = _Seeds(block, size, seed, chunk)
         c = _Contexts(s, shared_of(s, answers))
         edge = B.bounds(c.key, n_buckets)
         most, fewest = np.full(len(c.key), -1, np.int64), np.zeros(len(c.key), np.int64)

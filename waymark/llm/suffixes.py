@@ -1,9 +1,9 @@
 """Deep-shallow sorting of many strings at once.
 
 `sort` orders strings (slices of one buffer) inside given groups and reports the
-common prefix of neighbours. Shallow part: multikey quicksort, eight bytes of all
-strings at a time, down to `SHALLOW` bytes; strings told apart drop out of the next
-round. Deep part: strings that still agree are put in a blind trie, whose inner nodes
+common prefix of neighbours. Shallow part: multikey quicksort down to `SHALLOW` bytes, with eight bytes as one
+letter. Each segment of strings that agree so far is parted by a pivot into smaller, equal and larger ones; the equal
+move on by one letter, the others are parted again. All segments take their step at once, as array operations. Deep part: strings that still agree are put in a blind trie, whose inner nodes
 hold only the length of the common prefix and whose edges hold one byte; a new string
 is compared in full with a single leaf, and its place follows from where they part.
 """
@@ -102,32 +102,50 @@ class BlindTrie:
         return order, shared
 
 
+def _quicksort(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (group, the first `SHALLOW` bytes), and where each segment of strings that agree in these begins."""
+    n = len(start)
+    order = np.argsort(group, kind="stable")
+    begin = np.ones(n + 1, bool)
+    begin[1:n] = group[order][1:] != group[order][:-1]
+    depth = np.zeros(n, np.int64)  # bytes that the string's segment agrees in; equal strings are at their end
+    while True:
+        first = np.flatnonzero(begin)
+        size = np.diff(first)
+        open_ = (size > 1) & (depth[order[first[:-1]]] < SHALLOW)
+        if not open_.any():
+            return order, begin[:n]
+        places = np.flatnonzero(np.repeat(open_, size))
+        rows, segment = order[places], np.repeat(np.arange(int(open_.sum())), size[open_])
+        at = depth[rows]
+        word, ends = _words(data, start[rows] + at, length[rows] - at), np.minimum(length[rows] - at, 8)
+        middle = (np.cumsum(size[open_]) - size[open_] + size[open_] // 2)[segment]  # the pivot: the segment's middle string
+        larger = (word > word[middle]) | ((word == word[middle]) & (ends > ends[middle]))
+        smaller = (word < word[middle]) | ((word == word[middle]) & (ends < ends[middle]))
+        kind = segment * 3 + 1 + larger - smaller
+        inner = np.argsort(kind, kind="stable")
+        order[places] = rows[inner]
+        kind = kind[inner]
+        begin[places[1:]] |= kind[1:] != kind[:-1]
+        equal = ~larger & ~smaller
+        depth[rows[equal]] = np.where(ends[equal] < 8, SHALLOW, at[equal] + 8)
+
+
 def sort(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings by (group, bytes), and the common prefix of each with the one before, -1 at a group's first."""
     n = len(start)
-    order = np.argsort(group, kind="stable")
     shared = np.full(n, -1, np.int64)
     if n == 0:
-        return order, shared
-    begin = np.concatenate(([True], group[order][1:] != group[order][:-1]))
-    shared[~begin] = -2  # not yet known
+        return np.zeros(0, np.int64), shared
+    order, begin = _quicksort(data, start, length, group)
+    # common prefixes of neighbours that the shallow part told apart
+    left = np.flatnonzero(begin[1:] & (group[order][1:] == group[order][:-1])) + 1
+    shared[left] = 0
     for depth in range(0, SHALLOW, 8):
-        ident = np.cumsum(begin) - 1
-        active = np.flatnonzero(np.bincount(ident)[ident] > 1)
-        if not len(active):
-            break
-        rows = order[active]
-        word = _words(data, start[rows] + depth, length[rows] - depth)
-        size = length[rows] if depth + 8 >= SHALLOW else np.minimum(length[rows], depth + 8)
-        inner = np.lexsort((np.minimum(size, depth + 8), word, ident[active]))
-        order[active] = rows[inner]
-        word, size = word[inner], np.minimum(length[rows][inner], depth + 8)
-        parted = np.zeros(len(active), bool)
-        parted[1:] = (ident[active][1:] == ident[active][:-1]) & ((word[1:] != word[:-1]) | (size[1:] != size[:-1]))
-        at = np.flatnonzero(parted)
-        both = np.minimum(size[at], size[at - 1])
-        shared[active[at]] = np.minimum(depth + _common(word[at], word[at - 1]), both)
-        begin[active[at]] = True
+        a, b = order[left - 1], order[left]
+        same = np.minimum(_common(*(_words(data, start[x] + depth, length[x] - depth) for x in (a, b))), np.minimum(length[a], length[b]) - depth)
+        shared[left] += same
+        left = left[same == 8]
     begin_at = np.flatnonzero(begin)
     end_at = np.append(begin_at[1:], n)
     deep = np.flatnonzero(end_at - begin_at > 1)
