@@ -136,3 +136,21 @@ def test_warc_of_repeated_ids_odd_urls_and_nothing(spark):
     told = {r.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0] for r in records if b"Refers-To" in r}
     assert len(told) == 1 and told < set(ids)
     assert warc.read(spark, warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+@pytest.mark.parametrize("n", [40, 120, 400])
+def test_genetic_packing_beats_its_seeds_on_triplets(n):
+    """Instances whose optimum is n bins of three pieces each: best-fit decreasing needs over 14 % more, the islands at most 3 %."""
+    rng = np.random.default_rng(n)
+    sizes = []
+    for _ in range(n):
+        a = int(rng.integers(380, 491))
+        b = int(rng.integers(250, (1000 - a) // 2 + 1))
+        sizes += [a, b, 1000 - a - b]
+    length = np.sort(np.array(sizes))[::-1].copy()
+    greedy = packing._fresh(length, np.arange(len(length)), 1000).max() + 1
+    islands = [packing.evolve(length, [], 1000, seed) for seed in range(packing.ISLANDS)]
+    for epoch in range(1, packing.EPOCHS):
+        islands = [packing.evolve(length, [*own, islands[i - 1][0]], 1000, 100 * epoch + i) for i, own in enumerate(islands)]
+    best = min(p.max() + 1 for found in islands for p in found)
+    assert greedy >= 1.14 * n and best <= 1.03 * n

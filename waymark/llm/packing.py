@@ -6,9 +6,10 @@ islands work on each shard with populations of their own:
 
 * an individual gives each piece a bin. The first is best-fit decreasing, others best-fit random orders;
 * crossover injects whole well-filled bins of one parent into the other, removes the other's bins that
-  share a piece with them, and puts the displaced pieces back by best fit, longest first;
+  share a piece with them or are poorly filled, and puts the displaced pieces back by best fit, longest first: a piece with one or two others that fill
+  a bin exactly, which no fit can better, else into the fullest bin that has room;
 * after each of `EPOCHS` epochs an island's best individual migrates to the next island of its shard;
-* an island stops early at the lower bound, ceil(tokens / capacity).
+* an island stops early at the lower bound, ceil(tokens / capacity), or when `PATIENCE` children in a row save no bin.
 
 The best island's packing stands. Bins that stayed poorly filled, a few per shard, are dissolved and packed again across
 shards, level by level, until one shard holds them or nothing is gained.
@@ -17,6 +18,7 @@ shards, level by level, until one shard holds them or nothing is gained.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from waymark.llm.scratch import materialize
 from waymark.llm.tokens import encoder
 
 CAPACITY = 2048
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 4, 3
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, PATIENCE = 8192, 2, 3, 40, 4, 6
 WELL_FILLED, POOR = 0.98, 0.97
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -107,13 +109,48 @@ def fitness(length: np.ndarray, bins: np.ndarray) -> tuple[int, float]:
     return (-len(fill), float((fill**2).sum()))
 
 
+def complete(length: np.ndarray, items: np.ndarray, bins: np.ndarray, room: list[int], capacity: int, rng: np.random.Generator) -> None:
+    """Put items (longest first) into new bins that they fill exactly in ones, twos or threes, the rest by `best_fit`. Changes bins and room."""
+    sizes = length[items]
+    waiting: dict[int, deque[int]] = {}
+    for item, size in zip(items.tolist(), sizes.tolist(), strict=True):
+        waiting.setdefault(size, deque()).append(item)
+    count = np.bincount(sizes, minlength=capacity + 1)
+    left = []
+    for item, size in zip(items.tolist(), sizes.tolist(), strict=True):
+        if bins[item] >= 0:
+            continue
+        waiting[size].popleft()
+        count[size] -= 1
+        free = capacity - size
+        if free == 0 or count[free]:
+            partners = (free,) if free else ()
+        else:
+            half = free // 2
+            pair = (count[1 : half + 1] > 0) & (count[free - 1 : free - half - 1 : -1] > 0)
+            if half and free == 2 * half and count[half] < 2:
+                pair[half - 1] = False
+            found = np.flatnonzero(pair)
+            if not len(found):
+                left.append(item)
+                continue
+            one = int(found[rng.integers(len(found))]) + 1
+            partners = (one, free - one)
+        bins[item] = len(room)
+        for partner in partners:
+            bins[waiting[partner].pop()] = len(room)
+            count[partner] -= 1
+        room.append(0)
+    best_fit(length, np.array(left, np.int64), bins, room, capacity)
+
+
 def crossover(length: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     fill = np.bincount(giver, weights=length)
     good = np.flatnonzero(fill >= WELL_FILLED * capacity)
     injected = np.zeros(len(fill), bool)
     injected[rng.choice(good, (len(good) + 1) // 2, replace=False) if len(good) else [int(fill.argmax())]] = True
     moved = injected[giver]
-    broken = np.zeros(taker.max() + 1, bool)
+    broken = np.bincount(taker, weights=length) < WELL_FILLED * capacity
     broken[taker[moved]] = True
     stays = ~moved & ~broken[taker]
     child = np.full(len(length), -1, np.int32)
@@ -125,7 +162,7 @@ def crossover(length: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity
         n += int(own.max()) + 1
     room = (capacity - np.bincount(child[child >= 0], weights=length[child >= 0], minlength=n)).astype(np.int64).tolist()
     displaced = np.flatnonzero(child < 0)
-    best_fit(length, displaced[np.argsort(-length[displaced], kind="stable")], child, room, capacity)
+    complete(length, displaced[np.argsort(-length[displaced], kind="stable")], child, room, capacity, rng)
     return child
 
 
@@ -138,12 +175,15 @@ def evolve(length: np.ndarray, population: list[np.ndarray], capacity: int, seed
         if population[0].max() + 1 > least:
             population.append(_fresh(length, rng.permutation(len(length)), capacity))
     scores = [fitness(length, p) for p in population]
-    for _ in range(GENERATIONS * len(population)):
-        if -max(scores)[0] <= least or len(population) < 2:
+    idle = 0
+    for _ in range(GENERATIONS):
+        best = max(scores)[0]
+        if -best <= least or len(population) < 2 or idle == PATIENCE:
             break
         a, b = rng.choice(len(population), 2, replace=False)
         child = crossover(length, population[a], population[b], capacity, rng)
         score = fitness(length, child)
+        idle = 0 if score[0] > best else idle + 1
         worst = min(range(len(scores)), key=scores.__getitem__)
         if score > scores[worst] and score not in scores:
             population[worst], scores[worst] = child, score
