@@ -154,3 +154,37 @@ def test_genetic_packing_beats_its_seeds_on_triplets(n):
         islands = [packing.evolve(length, [*own, islands[i - 1][0]], 1000, 100 * epoch + i) for i, own in enumerate(islands)]
     best = min(p.max() + 1 for found in islands for p in found)
     assert greedy >= 1.14 * n and best <= 1.03 * n
+
+
+@pytest.mark.parametrize("fan_bits", [1, 2])
+def test_payloads_in_bundles_over_several_hops(spark, monkeypatch, fan_bits):
+    """Many blocks and buckets, few ways at each hop: all operators of this kind give what they give with direct payloads."""
+    from waymark.llm import blocks, lmscore
+
+    monkeypatch.setattr(blocks, "BUCKET_TEXT_BYTES", 3000)
+    monkeypatch.setattr(jaccard, "PREFIX_TEXT", 3000)
+    docs = spark.createDataFrame(_corpus(12), SCHEMA).repartition(12)
+    way = blocks.post(blocks.build(docs), fan_bits=fan_bits)
+    assert way.n_blocks > 8 and way.ask.hops > 1 and way.answer.hops > 1
+
+    def both(f):
+        few, many = (sorted(map(str, f(n).collect())) for n in (None, fan_bits))
+        assert few == many
+
+    both(lambda n: lmscore.stupid_backoff(docs, order=3, fan_bits=n).select("doc_id", "n_backoffs", F.round("log_score", 6)))
+    both(lambda n: bytespans.repeated_bytes(docs, 60, 30, fan_bits=n))
+    both(lambda n: substrings.repeated_passages(docs, fan_bits=n))
+    both(lambda n: jaccard.near_duplicates(docs, fan_bits=n))
+
+
+def test_rows_sent_grow_with_blocks_not_with_their_square():
+    from waymark.llm.blocks import Post
+
+    rows = []
+    for n in (1 << 10, 1 << 14):
+        way = Post(n, n, 7)
+        sent = {way.place(False, 1, bucket, 3) for bucket in range(n)}
+        rows.append(len(sent) * n)
+        held = {way.place(False, 1, 5, block) for block in range(n)}
+        assert len(sent) == 128 and len(held) <= n // 128 * 2
+    assert rows[1] == 16 * rows[0]

@@ -13,7 +13,11 @@ key flood one task. Here
 * `answer` sees all payloads of a bucket and returns one payload per asking block;
 * `apply` joins blocks with their answers, to ask again or to make result rows.
 
-Buckets and blocks are bounded in bytes; their numbers grow with the corpus.
+Buckets and blocks are bounded in bytes; their numbers grow with the corpus, and the number of pairs of them with its square.
+So payloads travel one by one only while there are few buckets. Beyond 2**`FAN_BITS` of them they travel in
+bundles, by as many hops as the bucket's number has digits of `FAN_BITS` bits: a block makes one bundle per first digit; a hop
+collects bundles of many blocks for one digit, deals their payloads by the next digit, and bundles those again. A
+hop therefore has at most 2**`FAN_BITS` rows per block, in proportion to the corpus. Answers go back the same way (`Post`).
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from waymark.llm.scratch import materialize
 
 BLOCK_BYTES = 4 << 20
 BUCKET_TEXT_BYTES = 12 << 20
+FAN_BITS = 7
 
 MESSAGE = "bucket int, block long, payload binary"
 
@@ -41,7 +46,14 @@ def pack(*arrays: object) -> bytes:
 
 
 def unpack(payload: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
+    return pickle.loads(_raw(payload))
+
+
+_ZSTD = b"\x28\xb5\x2f\xfd"  # fixed value: how a zstd frame begins
+
+
+def _raw(payload: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(payload) if payload[:4] == _ZSTD else payload
 
 
 def planes(ordered: np.ndarray) -> np.ndarray:
@@ -54,10 +66,21 @@ def unplanes(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(steps.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-def bounds(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted uint64 keys; buckets are equal key ranges."""
-    step = np.arange(n_buckets + 1, dtype=object) * (1 << 64) // n_buckets
-    return np.append(np.searchsorted(keys, np.array(step[:-1], dtype=np.uint64)), len(keys))
+class bounds:
+    """Ascending uint64 keys cut into buckets, equal key ranges; their number is a power of two. `x[bucket]` is where a bucket begins."""
+
+    def __init__(self, keys: np.ndarray, n_buckets: int):
+        self.keys, self.n, self.bits = keys, n_buckets, _bits(n_buckets)
+        assert n_buckets == 1 << self.bits
+
+    def __getitem__(self, bucket: int) -> int:
+        if bucket >= self.n:
+            return len(self.keys)
+        return int(np.searchsorted(self.keys, np.uint64(int(bucket) << (64 - self.bits)))) if bucket else 0
+
+    def used(self) -> list[int]:
+        """Buckets that hold a key; the work does not grow with the number of buckets."""
+        return np.unique(self.keys >> np.uint64(64 - self.bits)).tolist() if self.bits else [0] * bool(len(self.keys))
 
 
 class Block:
@@ -129,23 +152,43 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     return materialize(rows.mapInArrow(make, "block long, n_docs int, n_bytes long, blob binary"), "blocks", "uncompressed")
 
 
-def buckets_for(blocks: DataFrame) -> int:
-    """Buckets in proportion to the bytes of text, at least four per shuffle partition's core."""
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TEXT_BYTES), 1)
+def _bits(n: int) -> int:
+    return max(0, (n - 1).bit_length())
+
+
+class Route:
+    """From `n_from` places to `n_to`. After hop h a message is where the first h digits of its destination and the first, h digits fewer, of its origin say."""
+
+    def __init__(self, n_from: int, n_to: int, fan_bits: int):
+        self.from_bits, self.to_bits, self.fan = _bits(n_from), _bits(n_to), fan_bits
+        self.hops = max(1, -(-self.to_bits // fan_bits))
 
+    def at(self, hop: int, to: int, origin: int) -> int:
+        known = hop * self.fan
+        left = max(0, self.from_bits - known)
+        return (to >> (self.to_bits - known)) << left | origin >> (self.from_bits - left)
 
-def _messages(rows: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, int, bytes]] = []
-    size = 0
-    for row in rows:
-        held.append(row)
-        size += len(row[2])
-        if size > 8 << 20:
-            yield _batch(held)
-            held, size = [], 0
-    if held:
-        yield _batch(held)
+
+class Post:
+    """The numbers of blocks and buckets, and the ways between them. Spread block numbers serve as their addresses."""
+
+    def __init__(self, n_blocks: int, n_buckets: int, fan_bits: int):
+        self.n_blocks, self.n_buckets = n_blocks, n_buckets
+        self.ask, self.answer = Route(n_blocks, n_buckets, fan_bits), Route(n_buckets, n_blocks, fan_bits)
+
+    def address(self, block: int) -> int:
+        bits = _bits(self.n_blocks)
+        return (block * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - bits) if bits else 0
+
+    def place(self, back: bool, hop: int, bucket: int, block: int) -> int:
+        return self.answer.at(hop, self.address(block), bucket) if back else self.ask.at(hop, bucket, self.address(block))
+
+
+def post(blocks: DataFrame, text_per_bucket: int | None = None, fan_bits: int | None = None) -> Post:
+    """Buckets in proportion to the bytes of text, at least one per shuffle partition."""
+    total, n = blocks.agg(F.sum("n_bytes"), F.count("*")).first()
+    least = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (text_per_bucket or BUCKET_TEXT_BYTES)), 1)
+    return Post(n, 1 << _bits(least), fan_bits or FAN_BITS)
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -153,34 +196,87 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["bucket", "block", "payload"])
 
 
-def ask(blocks: DataFrame, question: Callable[[Block], Iterable[tuple[int, bytes]]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, int, bytes]]:
-            for batch in batches:
-                for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for bucket, payload in question(Block(blob.as_py())):
-                        yield bucket, block, payload
+Row = tuple[int, int, bytes]  # bucket, block, payload
+HOP = "at long, bundle binary"
+_HOP = pa.schema([("at", pa.int64()), ("bundle", pa.binary())])
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 
-        yield from _messages(rows())
 
-    return blocks.select("block", "blob").mapInArrow(run, MESSAGE)
+def _bundles(rows: Iterable[Row], key: Callable[[int, int], object]) -> dict[object, bytes]:
+    held: dict[object, list[Row]] = {}
+    for bucket, block, payload in rows:
+        held.setdefault(key(bucket, block), []).append((bucket, block, _raw(payload)))
+    return {k: zstandard.ZstdCompressor(level=1).compress(pickle.dumps(v, protocol=5)) for k, v in held.items()}
 
 
-def answer(questions: DataFrame, reply: Callable[[list[int], list[tuple]], Iterable[tuple[int, bytes]]]) -> DataFrame:
-    """reply(blocks, payloads) gives (block, payload) for those blocks that get one."""
+def _open(bundle: bytes) -> list[Row]:
+    return pickle.loads(_raw(bundle))
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        blocks = table.column("block").to_pylist()
-        order = sorted(range(len(blocks)), key=blocks.__getitem__)
-        payloads = table.column("payload")
-        rows = [(bucket, b, p) for b, p in reply([blocks[i] for i in order], [unpack(payloads[i].as_py()) for i in order])]
+
+def _sent(rows: Iterable[Row], way: Post, back: bool) -> pa.Table:
+    """What leaves one block or bucket: its payloads, or bundles of them for the first hop."""
+    route = way.answer if back else way.ask
+    if route.hops == 1:
+        held = list(rows)
+        return pa.Table.from_batches([_batch(held)] if held else [], schema=_SCHEMA)
+    return _hop_table(_bundles(rows, lambda bucket, block: way.place(back, 1, bucket, block)))
+
+
+def _hop_table(bundles: dict[object, bytes]) -> pa.Table:
+    return pa.table([pa.array(list(bundles), pa.int64()), pa.array(list(bundles.values()), pa.binary())], schema=_HOP)
+
+
+def _travel(sent: DataFrame, way: Post, back: bool) -> DataFrame:
+    """Bundles go hop by hop; at the last, all payloads that one hop has for a bucket (or block) are one row, under the number -1 of whence they come."""
+    route = way.answer if back else way.ask
+    if route.hops == 1:
+        return sent
+
+    def hop(number: int):
+        def run(table: pa.Table) -> pa.Table:
+            rows = (row for bundle in table.column("bundle") for row in _open(bundle.as_py()))
+            return _hop_table(_bundles(rows, lambda bucket, block: way.place(back, number, bucket, block)))
+
+        return run
+
+    def deliver(table: pa.Table) -> pa.Table:
+        rows = (row for bundle in table.column("bundle") for row in _open(bundle.as_py()))
+        arrived = _bundles(rows, lambda bucket, block: block if back else bucket)
+        rows = [(-1, to, b) if back else (to, -1, b) for to, b in arrived.items()]
         return pa.Table.from_batches([_batch(rows)] if rows else [], schema=_SCHEMA)
 
-    return questions.groupBy("bucket").applyInArrow(run, MESSAGE)
+    for number in range(2, route.hops):
+        sent = sent.groupBy("at").applyInArrow(hop(number), HOP)
+    return sent.groupBy("at").applyInArrow(deliver, MESSAGE)
 
 
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
+def ask(blocks: DataFrame, question: Callable[[Block], Iterable[tuple[int, bytes]]], way: Post) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = ((bucket, block, payload) for bucket, payload in question(Block(blob.as_py())))
+                yield from _sent(rows, way, False).to_batches(max_chunksize=1000)
+
+    return _travel(blocks.select("block", "blob").mapInArrow(run, MESSAGE if way.ask.hops == 1 else HOP), way, False)
+
+
+def answer(questions: DataFrame, reply: Callable[[list[int], list[tuple]], Iterable[tuple[int, bytes]]], way: Post, back: bool = True) -> DataFrame:
+    """reply(blocks, payloads) gives (block, payload) for those blocks that get one. `back`: these are blocks that asked, not other numbers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        rows: list[tuple[int, bytes]] = []
+        for block, payload in zip(table.column("block").to_pylist(), table.column("payload"), strict=True):
+            rows += [(block, payload.as_py())] if block >= 0 else [(b, p) for _, b, p in _open(payload.as_py())]
+        rows.sort(key=lambda row: row[0])
+        told = ((bucket, b, p) for b, p in reply([b for b, _ in rows], [unpack(p) for _, p in rows]))
+        if back:
+            return _sent(told, way, True)
+        held = list(told)
+        return pa.Table.from_batches([_batch(held)] if held else [], schema=_SCHEMA)
+
+    told = questions.groupBy("bucket").applyInArrow(run, HOP if back and way.answer.hops > 1 else MESSAGE)
+    return _travel(told, way, True) if back else told
 
 
 def _joined(blocks: DataFrame, answers: DataFrame, work: Callable, schema: str) -> DataFrame:
@@ -188,19 +284,25 @@ def _joined(blocks: DataFrame, answers: DataFrame, work: Callable, schema: str)
     return left.cogroup(answers.groupBy("block")).applyInArrow(work, schema)
 
 
-def ask_again(blocks: DataFrame, answers: DataFrame, question: Callable[[Block, dict[int, tuple]], Iterable[tuple[int, bytes]]]) -> DataFrame:
+def ask_again(blocks: DataFrame, answers: DataFrame, question: Callable[[Block, dict[int, tuple]], Iterable[tuple[int, bytes]]], way: Post) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return _SCHEMA.empty_table()
+            return _sent([], way, False)
         block = left.column("block")[0].as_py()
-        rows = [(b, block, p) for b, p in question(Block(left.column("blob")[0].as_py()), _answers(right))]
-        return pa.Table.from_batches([_batch(rows)] if rows else [], schema=_SCHEMA)
+        rows = ((b, block, p) for b, p in question(Block(left.column("blob")[0].as_py()), _answers(right)))
+        return _sent(rows, way, False)
 
-    return _joined(blocks, answers, run, MESSAGE)
+    return _travel(_joined(blocks, answers, run, MESSAGE if way.ask.hops == 1 else HOP), way, False)
 
 
 def _answers(table: pa.Table) -> dict[int, tuple]:
-    return {b: unpack(p.as_py()) for b, p in zip(table.column("bucket").to_pylist(), table.column("payload"), strict=True)}
+    out = {}
+    for bucket, payload in zip(table.column("bucket").to_pylist(), table.column("payload"), strict=True):
+        if bucket >= 0:
+            out[bucket] = unpack(payload.as_py())
+        else:
+            out |= {b - (bucket + 1) * SECOND: unpack(p) for b, _, p in _open(payload.as_py())}
+    return out
 
 
 def finish(blocks: DataFrame, answers: DataFrame, result: Callable[[Block, dict[int, tuple]], pa.Table], schema: str, empty: pa.Schema) -> DataFrame:
@@ -218,5 +320,6 @@ SECOND = 1 << 27
 
 
 def second(answers: DataFrame, later: int = 1) -> DataFrame:
-    """Answers of a later round: their buckets are shifted by `SECOND` for each round before it."""
-    return answers.withColumn("bucket", (F.col("bucket") + F.lit(later * SECOND)).cast("int"))
+    """Answers of a later round: their buckets are shifted by `SECOND` for each round before it, those of bundles when they are opened."""
+    bucket = F.col("bucket")
+    return answers.withColumn("bucket", F.when(bucket < 0, bucket - later).otherwise(bucket + F.lit(later * SECOND)).cast("int"))

@@ -176,7 +176,7 @@ def _equal(order: np.ndarray, shared: np.ndarray, size: np.ndarray) -> np.ndarra
     return out
 
 
-def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan_bits: int | None = None) -> DataFrame:
     """Per document: bytes of its UTF-8 text, how many are covered by a string of `size` bytes that also starts
     anywhere else, the number of maximal removed runs, the SHA-256 of what stays, and the runs (last exclusive).
 
@@ -186,14 +186,15 @@ def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: st
     if not 0 < seed <= size:
         raise ValueError("seed must be between 1 and size")
     blocks = B.build(docs, id_col, text_col, BLOCK_BYTES)
-    n_buckets = B.buckets_for(blocks)
+    way = B.post(blocks, fan_bits=fan_bits)
+    n_buckets = way.n_buckets
 
     def seeds(block: B.Block):
         s = _Seeds(block, size, seed, chunk)
         edge = B.bounds(s.key, n_buckets)
-        for bucket in np.flatnonzero(np.diff(edge)):
+        for bucket in edge.used():
             a, b = edge[bucket], edge[bucket + 1]
-            yield int(bucket), B.pack(s.key[a:b], s.many[a:b])
+            yield bucket, B.pack(s.key[a:b], s.many[a:b])
 
     def shared_of(s: _Seeds, answers: dict[int, tuple]) -> np.ndarray:
         shared = np.zeros(len(s.key), bool)
@@ -206,11 +207,11 @@ def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: st
         s = _Seeds(block, size, seed, chunk)
         c = _Contexts(s, shared_of(s, answers))
         edge = B.bounds(c.key, n_buckets)
-        for bucket in np.flatnonzero(np.diff(edge)):
+        for bucket in edge.used():
             a, b = edge[bucket], edge[bucket + 1]
             pieces = c.pieces[a:b]
             ends = np.cumsum([[len(x), len(y)] for x, y in pieces], axis=0)
-            yield int(bucket), B.pack(c.digest[a:b], c.many[a:b], b"".join(x for x, _ in pieces), b"".join(y for _, y in pieces), ends)
+            yield bucket, B.pack(c.digest[a:b], c.many[a:b], b"".join(x for x, _ in pieces), b"".join(y for _, y in pieces), ends)
 
     def sort_contexts(block_of: list[int], payloads: list[tuple]):
         digest, many = (np.concatenate([p[i] for p in payloads]) for i in (0, 1))
@@ -243,8 +244,8 @@ def repeated_bytes(docs: DataFrame, size: int = 200, seed: int = 100, id_col: st
         end = c.at[gone] + size - fewest[c.of[gone]]
         return _rows(block, begin, end)
 
-    answers = B.materialize(B.answer(B.ask(blocks, seeds), _seen_twice), "answers")
-    late = B.second(B.answer(B.ask_again(blocks, answers, contexts), sort_contexts))
+    answers = B.materialize(B.answer(B.ask(blocks, seeds, way), _seen_twice, way), "answers")
+    late = B.second(B.answer(B.ask_again(blocks, answers, contexts, way), sort_contexts, way))
     return B.finish(blocks, answers.unionByName(late), result, SCHEMA, _ARROW)
 
 

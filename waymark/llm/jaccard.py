@@ -447,22 +447,22 @@ def _left_apart(lists: DataFrame, found: DataFrame, nodes: DataFrame, blocks: Da
     return dealt.groupBy("cell").cogroup(sent.withColumn("cell", F.col("bucket")).groupBy("cell")).applyInArrow(compare, "x long, y long")
 
 
-def _frequent(blocks: DataFrame, k: int, n_buckets: int) -> np.ndarray:
+def _frequent(blocks: DataFrame, k: int, way: B.Post) -> np.ndarray:
     """Upper halves of the hashes of n-grams that more than SHORT_LIST documents hold.
 
     Only the share COUNTED of all hashes is counted, from below: prefixes take the smallest hashes, so they seldom reach beyond it. At
-    most FREQUENT of them, the most frequent of each bucket, come to the driver (four bytes each).
+    most FREQUENT of them (or one per bucket), the most frequent of each bucket, come to the driver (four bytes each).
     """
     below = G.U(int(COUNTED * 2**64))
 
     def halves(block: B.Block):
         s = Sets(block, k)
         half, df = np.unique((s.gram[s.leads()[s.doc] & (s.gram < below)] >> G.U(32)).astype(np.uint32), return_counts=True)
-        edge = np.searchsorted(half, (np.arange(n_buckets + 1) * (float(below >> G.U(32)) + 1) / n_buckets).astype(np.uint64))
-        for bucket in np.flatnonzero(np.diff(edge)):
+        edge = B.bounds(half.astype(G.U) << G.U(33), way.n_buckets)  # halves below 0.45 spread over nearly all buckets
+        for bucket in edge.used():
             mine = slice(edge[bucket], edge[bucket + 1])
             more = np.flatnonzero(df[mine] > 1)
-            yield int(bucket), B.pack(half[mine], more.astype(np.uint32), df[mine][more].astype(np.uint32))
+            yield bucket, B.pack(half[mine], more.astype(np.uint32), df[mine][more].astype(np.uint32))
 
     def total(block_of: list[int], payloads: list[tuple]):
         half = np.concatenate([p[0] for p in payloads])
@@ -470,10 +470,10 @@ def _frequent(blocks: DataFrame, k: int, n_buckets: int) -> np.ndarray:
         order, begin = G.groups(half)
         sums = np.add.reduceat(df[order], begin)
         often = np.flatnonzero(sums > SHORT_LIST)
-        often = often[np.argsort(-sums[often], kind="stable")][: FREQUENT // n_buckets]
+        often = often[np.argsort(-sums[often], kind="stable")][: max(1, FREQUENT // way.n_buckets)]
         yield 0, B.pack(half[order][begin][often])
 
-    found = B.answer(B.ask(blocks, halves), total).select("payload").collect()
+    found = B.answer(B.ask(blocks, halves, way), total, way, back=False).select("payload").collect()
     return np.sort(np.concatenate([np.zeros(0, np.uint32), *(B.unpack(r.payload)[0] for r in found)]))
 
 
@@ -483,7 +483,7 @@ def _filled(n: int, where: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", fan_bits: int | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles (distinct word k-grams), component_id (the smallest doc_id reachable by links, itself included).
 
     A text of fewer than k words is its whole word sequence as one n-gram; one without words (or null) has an empty set and
@@ -492,8 +492,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     table gives no rows.
     """
     blocks = B.build(docs, id_col, text_col)
-    total = blocks.agg(F.sum("n_bytes")).first()
-    n_buckets = max(8, -(-(total[0] or 0) // PREFIX_TEXT))
+    way = B.post(blocks, PREFIX_TEXT, fan_bits)
+    n_buckets = way.n_buckets
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -506,7 +506,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     described = blocks.select("block", "blob").mapInArrow(describe, "block long, doc_id long, node long, size long, d0 long, d1 long")
     described = materialize(described, "described")
 
-    heavy = Heavy(_frequent(blocks, k, n_buckets))
+    heavy = Heavy(_frequent(blocks, k, way))
 
     def prefixes(block: B.Block):
         s = Sets(block, k)
@@ -515,13 +515,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
         order = np.argsort(gram, kind="stable")
         gram, doc, rank = gram[order], doc[order], rank[order]
         edge = B.bounds(gram, n_buckets)
-        for bucket in np.flatnonzero(np.diff(edge)):
+        for bucket in edge.used():
             mine = slice(edge[bucket], edge[bucket + 1])
             docs_here, place = np.unique(doc[mine], return_inverse=True)
             narrow = rank[mine].astype(np.uint16 if rank[mine].max() < 65536 else np.uint32)
-            yield int(bucket), B.pack(gram[mine], s.node[docs_here], s.size[docs_here], s.digest[0][docs_here], place.astype(np.uint16 if len(docs_here) < 65536 else np.uint32), narrow)
+            yield bucket, B.pack(gram[mine], s.node[docs_here], s.size[docs_here], s.digest[0][docs_here], place.astype(np.uint16 if len(docs_here) < 65536 else np.uint32), narrow)
 
-    answers = materialize(B.answer(B.ask(blocks, prefixes), _lists(percent)), "lists")
+    answers = materialize(B.answer(B.ask(blocks, prefixes, way), _lists(percent), way, back=False), "lists")
     pairs = _pair_rows(answers.filter(F.col("block") == PAIRS)).distinct()
     nodes = described.filter("size > 0").select("node", "block", "size")
     links = materialize(_verify(pairs, nodes, blocks, k, percent), "links")

@@ -47,10 +47,9 @@ def _prints(block: B.Block, order: int, bits: int, n_buckets: int):
     for k in range(2, order + 1):
         prints, count = np.unique(_hashes(words, k)[0] >> shift, return_counts=True)
         found.append((prints, count > 1, B.bounds(prints << shift, n_buckets)))
-    for bucket in range(n_buckets):
+    for bucket in sorted({b for *_, e in found for b in e.used()}):
         cut = [(p[e[bucket] : e[bucket + 1]], m[e[bucket] : e[bucket + 1]]) for p, m, e in found]
-        if any(len(p) for p, _ in cut):
-            yield bucket, B.pack(*((B.planes(p), len(p), np.packbits(m)) for p, m in cut))
+        yield bucket, B.pack(*((B.planes(p), len(p), np.packbits(m)) for p, m in cut))
 
 
 def _repeated(block_of: list[int], payloads: list[tuple]):
@@ -91,7 +90,8 @@ class _Grams:
             edge = B.bounds(prints[new] << shift, n_buckets)
             twice = np.zeros(int(new.sum()), bool)
             for bucket, told in ((b, a) for b, a in answers.items() if b < B.SECOND):
-                twice[edge[bucket] : edge[bucket + 1]] = np.unpackbits(told[k - 2], count=int(edge[bucket + 1] - edge[bucket]))
+                a, b = edge[bucket], edge[bucket + 1]
+                twice[a:b] = np.unpackbits(told[k - 2], count=b - a)
             self.asked = twice[np.cumsum(new) - 1]
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ def _narrow(count: np.ndarray) -> np.ndarray:
     return count.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
 
 
-def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text", fan_bits: int | None = None) -> DataFrame:
     """Per document: words, words scored after a shorter context than they had, the sum of natural-log scores, and the mean
     (null without words). Words are `[^\\x20\\x09-\\x0D]+`, unchanged; contexts do not cross documents.
 
@@ -128,7 +128,8 @@ def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff:
     if order < 1 or not 0 < backoff <= 1 or min_count < 1:
         raise ValueError("order and min_count start at 1, backoff lies in (0, 1]")
     blocks = B.build(docs, id_col, text_col)
-    n_buckets = B.buckets_for(blocks)
+    way = B.post(blocks, fan_bits=fan_bits)
+    n_buckets = way.n_buckets
 
     def words(batches):
         for batch in batches:
@@ -149,9 +150,9 @@ def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff:
             order_ = np.argsort(key, kind="stable")
             key, check, count = key[order_], check[order_], count[order_]
             edge = B.bounds(key, n_buckets)
-            for bucket in np.flatnonzero(np.diff(edge)):
+            for bucket in edge.used():
                 mine = slice(edge[bucket], edge[bucket + 1])
-                yield int(bucket), B.pack(B.planes(key[mine]), check[mine], _narrow(count[mine]))
+                yield bucket, B.pack(B.planes(key[mine]), check[mine], _narrow(count[mine]))
 
         return question
 
@@ -197,9 +198,9 @@ def stupid_backoff(docs: DataFrame, order: int = 2, min_count: int = 2, backoff:
 
     repeated = blocks.sparkSession.createDataFrame([], B.MESSAGE)
     if bits:
-        repeated = B.materialize(B.answer(B.ask(blocks, lambda block: _prints(block, order, bits, n_buckets)), _repeated), "repeated")
+        repeated = B.materialize(B.answer(B.ask(blocks, lambda block: _prints(block, order, bits, n_buckets), way), _repeated, way), "repeated")
     answers = repeated
     for number, ks in enumerate(rounds, 1):
-        told = B.answer(B.ask_again(blocks, repeated, grams(ks)), _sum)
+        told = B.answer(B.ask_again(blocks, repeated, grams(ks), way), _sum, way)
         answers = answers.unionByName(B.second(B.materialize(told, "counts"), number))
     return B.finish(blocks, answers, result, SCHEMA, _ARROW)

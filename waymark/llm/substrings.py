@@ -66,10 +66,10 @@ class _Seeds:
 def _payloads(key: np.ndarray, span: np.ndarray, least: np.ndarray, n_buckets: int):
     """Keys are sorted; ids travel as places in a table of the payload's own ids."""
     edge = B.bounds(key, n_buckets)
-    for bucket in np.flatnonzero(np.diff(edge)):
+    for bucket in edge.used():
         a, b = edge[bucket], edge[bucket + 1]
         ids, place = np.unique(least[a:b], return_inverse=True)
-        yield int(bucket), B.pack(key[a:b], span[a:b], ids, place.astype(np.uint32 if len(ids) > 65535 else np.uint16))
+        yield bucket, B.pack(key[a:b], span[a:b], ids, place.astype(np.uint32 if len(ids) > 65535 else np.uint16))
 
 
 def _owners(block_of: list[int], payloads: list[tuple]):
@@ -128,9 +128,9 @@ class _Contexts:
 
     def payloads(self, n_buckets: int):
         edge = B.bounds(self.key, n_buckets)
-        for bucket in np.flatnonzero(np.diff(edge)):
+        for bucket in edge.used():
             mine = slice(edge[bucket], edge[bucket + 1])
-            yield int(bucket), B.pack(self.key[mine], self.least[mine], self.left[mine].astype(np.uint32), self.right[mine].astype(np.uint32), *(w[mine] for w in self.words))
+            yield bucket, B.pack(self.key[mine], self.least[mine], self.left[mine].astype(np.uint32), self.right[mine].astype(np.uint32), *(w[mine] for w in self.words))
 
 
 def _grown(start: np.ndarray, size: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
@@ -168,7 +168,7 @@ def _extend(block_of: list[int], payloads: list[tuple]):
             yield block, B.pack(some.astype(np.uint32), np.packbits(mine[some], axis=1))
 
 
-def repeated_passages(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 13, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, fan_bits: int | None = None) -> DataFrame:
     """Per document: its words, how many lie in a run of `window` words that also starts in a document with a
     smaller id, the SHA-256 of the words that stay (joined by one space), and the removed spans (word numbers, last exclusive).
 
@@ -179,7 +179,8 @@ def repeated_passages(docs: DataFrame, window: int = 13, seed: int = 5, id_col:
     if not 0 < seed <= window:
         raise ValueError("seed must be between 1 and window")
     blocks = B.build(docs, id_col, text_col, row_col=row_col)
-    n_buckets = B.buckets_for(blocks)
+    way = B.post(blocks, fan_bits=fan_bits)
+    n_buckets = way.n_buckets
 
     def first(block: B.Block):
         s = _Seeds(block, window, seed)
@@ -206,9 +207,8 @@ def repeated_passages(docs: DataFrame, window: int = 13, seed: int = 5, id_col:
         removed = G.union(s.words.n, np.concatenate((*begin, start)), np.concatenate((*end, start + window)))
         return _rows(block, s.words, removed)
 
-    asked = B.ask(blocks, first)
-    answers = B.materialize(B.answer(asked, _owners), "answers")
-    late = B.second(B.answer(B.ask_again(blocks, answers, contexts), _extend))
+    answers = B.materialize(B.answer(B.ask(blocks, first, way), _owners, way), "answers")
+    late = B.second(B.answer(B.ask_again(blocks, answers, contexts, way), _extend, way))
     found = B.finish(blocks, answers.unionByName(late), result, SCHEMA, _ARROW)
     return found if row_col else found.drop("row")
 
