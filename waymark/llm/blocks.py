@@ -36,7 +36,7 @@ from waymark.llm.scratch import materialize
 
 BLOCK_BYTES = 4 << 20
 BUCKET_TEXT_BYTES = 12 << 20
-FAN_BITS = 7
+FAN_BITS = 9
 
 MESSAGE = "bucket int, block long, payload binary"
 
