@@ -42,3 +42,15 @@ def test_loops_are_hallucinations(spark):
     assert _one(spark, lambda c: X.hallucinated(c, ["thanks"], ["subscribe"]), "ab cd " * 30)
     assert _one(spark, lambda c: X.hallucinated(c, ["thanks"], ["subscribe"]), " thanks. ")
     assert not _one(spark, lambda c: X.hallucinated(c, ["thanks"], ["subscribe"]), "an ordinary short line of speech")
+
+
+def test_digits_are_no_marks(spark):
+    assert _one(spark, X.normalize, "ابجد١ابجد") == "ابجد ابجد"
+    assert _one(spark, X.bare, "أب جدٰة ۖ") == "اب جده"
+
+
+def test_passage_keys(spark):
+    keys = lambda text: _one(spark, lambda c: X.passage_keys(X.words(c)), text)
+    assert keys("قال و الله") == ["قال", "والله"]
+    assert keys("شي ء و ء") == ["شيء", "وء"]
+    assert keys("ء و و كل و") == ["ء", "وو", "كل", "و"] and keys("") == []

@@ -82,7 +82,7 @@ def agreed_words(t):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn")
         hypotheses = [[(float(i), i + 0.9, w) for i, w in enumerate(str(x).lower().split())] for x in pdf["text"]]
-        out = kernels.local_agreement(hypotheses)
+        out = kernels.local_agreement(hypotheses, key=lambda w: "".join(c for c in w if c.isalnum()))
         return pd.DataFrame({"conv_id": pdf["conv_id"].to_numpy(), "turn": pdf["turn"].to_numpy(), "committed": [len(x) for x in out]})
 
     return t.conversations.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(one, "conv_id long, turn long, committed int")

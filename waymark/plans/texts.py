@@ -32,11 +32,14 @@ def item_grams(t, n=5):
     return t.benchmark.select("item_id", F.explode(F.array_distinct(X.word_grams(X.words(X.normalize_latin(F.col("text"))), n))).alias("g"))
 
 
-@query(f"""WITH {LINES}, {WORDS}, {LINE_GRAMS},
+LOCATED = f"""{LINES}, {WORDS}, {LINE_GRAMS},
 items AS (SELECT item_id, string_split({NORM % 'text'}, ' ') AS ws FROM benchmark),
 ig AS (SELECT DISTINCT item_id, array_to_string(ws[s:s+4], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS s FROM items WHERE len(ws) > 4)),
-hits AS (SELECT item_id, doc_id, line_id, count(*) AS shared FROM ig JOIN grams USING (g) GROUP BY ALL)
-SELECT item_id, doc_id, line_id::INT AS line_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id, line_id) AS r FROM hits) WHERE r = 1""")
+hits AS (SELECT item_id, doc_id, line_id, count(*) AS shared FROM ig JOIN grams USING (g) GROUP BY ALL),
+found AS (SELECT item_id, doc_id, line_id::INT AS line_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id, line_id) AS r FROM hits) WHERE r = 1)"""
+
+
+@query(f"WITH {LOCATED} SELECT * FROM found")
 def locate_passage(t):
     """Which document and line holds each passage: word 5-grams through an inverted index, the best line per passage."""
     hits = item_grams(t).join(line_grams(t), "g").groupBy("item_id", "doc_id", "line_id").agg(F.count("*").alias("shared"))
@@ -202,12 +205,14 @@ def grid_rows(t):
     return t.spark.sql("SELECT lang, source, count(*) AS n, sum(n_chars) AS chars, cast(grouping_id(lang, source) AS int) AS level FROM waymark_grid_documents GROUP BY GROUPING SETS ((lang, source), (lang), ())")
 
 
-@query("""WITH b AS (SELECT substr(b, 1, 200) AS a, substr(d, 1, 200) AS c FROM (SELECT NB AS b, ND AS d FROM benchmark b JOIN documents d ON d.doc_id = b.item_id))
-SELECT sum(levenshtein(a, c))::BIGINT AS edits, sum(length(a))::BIGINT AS letters FROM b""".replace("NB", NORM % "b.text").replace("ND", NORM % "d.text"))
+@query(f"""WITH {LOCATED}, p AS (SELECT lang, {NORM % 'b.text'} AS a, l.norm AS c FROM found f JOIN benchmark b ON b.item_id = f.item_id JOIN lines l ON l.doc_id = f.doc_id AND l.line_id = f.line_id)
+SELECT lang, sum(levenshtein(a, c))::BIGINT AS edits, sum(length(a))::BIGINT AS letters, round(sum(levenshtein(a, c)) / sum(length(a)), 6) AS error_rate FROM p GROUP BY lang""")
 def error_rate(t):
-    """Character error counts over whole texts, summed before any division. The SQL above still cuts both texts at 200 characters."""
-    pair = t.benchmark.select("item_id", X.normalize_latin(F.col("text")).alias("a")).join(t.documents.select("doc_id", X.normalize_latin(F.col("text")).alias("b")), F.col("item_id") == F.col("doc_id"))
-    return pair.agg(F.sum(F.levenshtein("a", "b")).cast("long").alias("edits"), F.sum(F.length("a")).cast("long").alias("letters"))
+    """Character error rate of each passage's located line against the passage, whole texts; by language, edits and letters summed before any division."""
+    reference = t.benchmark.select("item_id", X.normalize_latin(F.col("text")).alias("a"))
+    pairs = locate_passage(t).join(reference, "item_id").join(lines(t).select("doc_id", "line_id", "lang", "norm"), ["doc_id", "line_id"])
+    sums = pairs.groupBy("lang").agg(F.sum(F.levenshtein("a", "norm")).cast("long").alias("edits"), F.sum(F.length("a")).cast("long").alias("letters"))
+    return sums.select("lang", "edits", "letters", F.round(F.col("edits") / F.col("letters"), 6).alias("error_rate"))
 
 
 @query("""SELECT doc_id, to_json({'id': doc_id, 'lines': list_transform(string_split(text, chr(10)), lambda x, i: {'n': i, 'text': x})})::VARCHAR AS json FROM documents""")
