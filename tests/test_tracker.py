@@ -46,3 +46,14 @@ def test_smoother_sees_the_future():
     costs = np.stack([INDEX.costs(x) for _, x in _recite(ONE)])
     path = smooth(INDEX, costs.astype(float), 1.0, Settings(kappa=1.0))
     assert path[-1] == len(ONE) - 1 and (np.diff(path) >= 0).all()
+
+
+def test_costs_of_many_windows_in_one_walk():
+    fragments = ["", "alpha beta", "gamma", "x" * 80, " ".join(ONE)[:64], "some quite odd words", "ü"]
+    for one, f in zip(INDEX.costs_of(fragments), fragments, strict=True):
+        assert one.tolist() == INDEX.costs(f).tolist()
+
+
+def test_settings_by_name():
+    got = Settings.parse(["kappa=0.2", "back_words=4", "speeds=1,2.5"])
+    assert (got.kappa, got.back_words, got.speeds, got.max_speed) == (0.2, 4, (1.0, 2.5), Settings().max_speed)
