@@ -361,6 +361,12 @@ def _verify(pairs: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, perce
     return partial.groupBy("x", "y").agg(F.sum("shared").alias("_s"), F.first("need").alias("_need")).filter("_s >= _need").select("x", "y")
 
 
+def _told(rows: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """rows (list, _n, ...) joined with one row per list (`key`): a list's row stands SALTS times, so that the members of a long list spread over as many keys."""
+    salted = lists.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(SALTS))).join(salted, (F.col("list") == F.col(key)) & (F.col("_salt") == F.col("_s"))).drop("_salt", "_s")
+
+
 def _left_apart(lists: DataFrame, found: DataFrame, nodes: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between different components inside long lists.
 
@@ -379,7 +385,7 @@ def _left_apart(lists: DataFrame, found: DataFrame, nodes: DataFrame, blocks: Da
     labelled = materialize(rows.join(found, F.col("_n") == F.col("node"), "left").select("list", "_n", "size", "rank", F.coalesce("component", "_n").alias("label")), "labelled")
     parts = labelled.groupBy("list", "label").agg(F.count("*").alias("_c"))
     apart = parts.groupBy(F.col("list").alias("_l")).agg(F.sum("_c").alias("_all"), F.max(F.struct("_c", "label")).alias("_top")).filter("_top._c < _all")
-    rows = labelled.join(apart, F.col("list") == F.col("_l"))
+    rows = _told(labelled, apart, "_l")
     rows = rows.select("list", "_n", "size", "rank", "label", "_all", F.col("_top._c").alias("_most"), (F.col("label") == F.col("_top.label")).alias("_major"))
     rows = materialize(rows, "apart")
     columns = ("list", "_n", "size", "rank", "label")
@@ -389,7 +395,7 @@ def _left_apart(lists: DataFrame, found: DataFrame, nodes: DataFrame, blocks: Da
     group = few.join(least, F.col("_n") == F.col("_m")).groupBy(F.col("list").alias("_l")).agg(F.min("_least").alias("group"), F.first("_all").alias("_rows"))
     cells = group.groupBy(F.col("group").alias("_g")).agg(F.ceil(F.sum("_rows") / ROWS).alias("_cells"))
     place = group.join(cells, F.col("group") == F.col("_g")).select("_l", F.xxhash64("group", F.pmod(F.xxhash64("_l"), F.col("_cells"))).alias("_cell"))
-    small = few.join(place, F.col("list") == F.col("_l")).select("_cell", *columns)
+    small = _told(few, place, "_l").select("_cell", *columns)
     # tiles: (0, p, j) others p against the largest component's slice j; (1, p, q) others among themselves
     many = rows.filter(F.col("_all") > SLICE).withColumn("_p", F.ceil((F.col("_all") - F.col("_most")) / SLICE).cast("int")).withColumn("_q", F.ceil(F.col("_most") / SLICE).cast("int"))
     own = F.pmod(F.xxhash64("_n"), F.when(F.col("_major"), F.col("_q")).otherwise(F.col("_p"))).cast("int")
