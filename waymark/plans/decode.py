@@ -46,7 +46,11 @@ def follow_passages(t):
     return tracker.follow(windows, index).select("rec", "t", "text", "line", "word", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query("""WITH RECURSIVE st AS (SELECT user_id, event_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n,
+ list_transform(['click', 'error', 'purchase', 'signup', 'view'], lambda k: CASE WHEN k = event_type THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+a AS (SELECT user_id, i, c AS v FROM st WHERE i = n UNION ALL SELECT st.user_id, st.i, list_transform(range(1, 6), lambda k: st.c[k] + least(a.v[k], list_min(a.v) + 1.5)) FROM a JOIN st ON st.user_id = a.user_id AND st.i = a.i - 1),
+p AS (SELECT user_id, i, list_position(v, list_min(v)) AS s FROM a WHERE i = 1 UNION ALL SELECT a.user_id, a.i, CASE WHEN a.v[p.s] > list_min(a.v) + 1.5 THEN list_position(a.v, list_min(a.v)) ELSE p.s END FROM p JOIN a ON a.user_id = p.user_id AND a.i = p.i + 1)
+SELECT p.user_id, event_id, ['click', 'error', 'purchase', 'signup', 'view'][s] AS state FROM p JOIN st ON st.user_id = p.user_id AND st.i = p.i""")
 def switching_states(t):
     """The cheapest state path of each user when each change of state costs something."""
 
@@ -60,7 +64,12 @@ def switching_states(t):
     return t.events.select("user_id", "event_id", "event_type", "ts").groupBy("user_id").applyInPandas(one, "user_id long, event_id long, state string")
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM benchmark),
+d AS (SELECT item_id, ws, 0 AS j, [0.0::DOUBLE] AS best, [-1] AS src FROM w
+ UNION ALL SELECT item_id, ws, j + 1, list_append(best, pick.t), list_append(src, j + 1 - pick.l) FROM (SELECT *, list_min(list_filter(list_transform(range(1, least(11, j + 1) + 1), lambda l: {'t': best[j + 2 - l] + (l - 7) * (l - 7) + CASE WHEN ends_with(ws[j + 1], '.') THEN 0 WHEN ends_with(ws[j + 1], ',') THEN 2 ELSE 8 END, 'l': l}),
+   lambda x: x.t IS NOT NULL AND (x.l >= 3 OR j + 1 = len(ws)))) AS pick FROM d WHERE j < len(ws))),
+e AS (SELECT item_id, src, len(ws) AS last FROM d WHERE j = len(ws) AND len(ws) > 0 UNION ALL SELECT item_id, src, src[last + 1] FROM e WHERE src[last + 1] > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY last) - 1)::INT AS line, last::INT AS last FROM e""")
 def cut_lines(t):
     """Passages cut into lines of 3 to 11 words, near seven, by dynamic programming; sentence ends are good breaks."""
 
@@ -75,7 +84,14 @@ def cut_lines(t):
     return t.benchmark.select("item_id", F.posexplode(cut("text")).alias("line", "last"))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')) AS ws FROM conversations),
+s AS (SELECT conv_id, 0::BIGINT AS r, NULL::BIGINT AS turn, 0::BIGINT AS past, []::VARCHAR[] AS tail, []::VARCHAR[] AS expected, 0::BIGINT AS n FROM (SELECT DISTINCT conv_id FROM h)
+ UNION ALL SELECT conv_id, r, turn, CASE WHEN n > 0 THEN past + m + n ELSE past END, list_concat(tail, fresh[1:n])[-4:], fresh[n + 1:], n FROM
+ (SELECT *, coalesce(list_position(list_transform(range(1, least(len(fresh), len(expected)) + 1), lambda i: fresh[i] = expected[i]), false) - 1, least(len(fresh), len(expected)))::BIGINT AS n FROM
+  (SELECT conv_id, r, turn, past, tail, expected, m, new[m + 1:] AS fresh FROM
+   (SELECT *, coalesce(list_max(list_filter(range(1, least(4, len(new), len(tail)) + 1), lambda k: new[1:k] = tail[len(tail) - k + 1:])), 0) AS m FROM
+    (SELECT s.conv_id, h.r, h.turn, s.past, s.tail, s.expected, h.ws[s.past + 1:] AS new FROM s JOIN h ON h.conv_id = s.conv_id AND h.r = s.r + 1)))))
+SELECT conv_id, turn, n::INT AS committed FROM s WHERE r > 0""")
 def agreed_words(t):
     """LocalAgreement over the turns of a conversation taken as successive hypotheses."""
 
