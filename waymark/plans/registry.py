@@ -32,3 +32,10 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """A table's columns for heavy work on each row. A small file may be one row group, hence one task; a scan of fewer partitions than twice
+        the cores is dealt to all cores first. A scan of more, as of any large table, stays as it is: no shuffle."""
+        rows = getattr(self, name).select(*columns)
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows

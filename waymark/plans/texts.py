@@ -19,7 +19,7 @@ LINE_GRAMS = "grams AS (SELECT DISTINCT doc_id, line_id, array_to_string(ws[s:s+
 
 
 def lines(t):
-    rows = t.documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_id", "line"))
+    rows = t.spread("documents", "doc_id", "lang", "text").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_id", "line"))
     return rows.withColumn("norm", X.normalize_latin(F.col("line")))
 
 
@@ -28,6 +28,16 @@ def line_grams(t, n=5):
     return lines(t).select("doc_id", "line_id", F.explode(F.array_distinct(X.word_grams(ws, n))).alias("g"))
 
 
+def text_grams(t, n=5):
+    """Distinct word n-grams of each document, inside its lines. They are made distinct in the row, so no shuffle is needed for that."""
+
+    def of(line):
+        return X.word_grams(X.words(X.normalize_latin(line)), n)
+
+    grams = F.array_distinct(F.flatten(F.transform(F.split("text", "\n"), of)))
+    return t.spread("documents", "doc_id", "text").select("doc_id", F.explode(grams).alias("g"))
+
+
 def item_grams(t, n=5):
     return t.benchmark.select("item_id", F.explode(F.array_distinct(X.word_grams(X.words(X.normalize_latin(F.col("text"))), n))).alias("g"))
 
@@ -119,7 +129,7 @@ def longest_script_run(t):
 SELECT g AS passage, count(*) AS texts FROM g GROUP BY g HAVING count(*) > 1""")
 def shared_passages(t):
     """Eight-word passages that several texts hold."""
-    return line_grams(t, 8).select("doc_id", "g").distinct().groupBy(F.col("g").alias("passage")).agg(F.count("*").alias("texts")).filter("texts > 1")
+    return text_grams(t, 8).groupBy(F.col("g").alias("passage")).agg(F.count("*").alias("texts")).filter("texts > 1")
 
 
 @query(f"""WITH {LINES}, {WORDS}, {LINE_GRAMS}, g AS (SELECT DISTINCT doc_id, g FROM grams), own AS (SELECT g FROM g GROUP BY g HAVING count(*) = 1),
@@ -128,7 +138,7 @@ SELECT doc_id, count(*) AS own_lines FROM l GROUP BY doc_id HAVING count(*) >= 3
 def own_passages(t):
     """Texts with at least three lines that hold a passage of no other text."""
     grams = line_grams(t)
-    own = grams.select("doc_id", "g").distinct().groupBy("g").agg(F.count("*").alias("_n")).filter("_n = 1").select("g")
+    own = text_grams(t).groupBy("g").agg(F.count("*").alias("_n")).filter("_n = 1").select("g")
     found = grams.join(own, "g", "left_semi").select("doc_id", "line_id").distinct()
     return found.groupBy("doc_id").agg(F.count("*").alias("own_lines")).filter("own_lines >= 3")
 
@@ -138,7 +148,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM d a JOIN d b
 SELECT a, b, shared FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared * 10 > 7 * least(x.n, y.n) AND least(x.n, y.n) * 10 > 6 * greatest(x.n, y.n)""")
 def contained_texts(t):
     """Pairs of texts of similar size of which one holds most passages of the other."""
-    return dedup.containment_pairs(line_grams(t).select("doc_id", "g").distinct(), "doc_id", "g", containment=0.7, size_ratio=0.6)
+    return dedup.containment_pairs(text_grams(t), "doc_id", "g", containment=0.7, size_ratio=0.6)
 
 
 @query(f"""WITH {LINES}, {WORDS}, {LINE_GRAMS}, d AS (SELECT DISTINCT doc_id, g FROM grams), df AS (SELECT g, count(*) AS df FROM d GROUP BY g), n AS (SELECT count(*) AS n FROM documents),
@@ -148,7 +158,7 @@ s AS (SELECT item_id, doc_id, round(sum(ln(n / df)), 6) AS score FROM ig JOIN d
 SELECT item_id, doc_id, score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 3""")
 def retrieve_texts(t):
     """The three best texts per passage by the idf sum of shared passages' 5-grams."""
-    return dedup.retrieve(item_grams(t), line_grams(t).select("doc_id", "g").distinct(), "item_id", "doc_id", "g", t.documents.count(), 3)
+    return dedup.retrieve(item_grams(t), text_grams(t), "item_id", "doc_id", "g", t.documents.count(), 3)
 
 
 @query("""WITH e AS (SELECT doc_id, source, ('0x' || substr(sha1(source || '/' || doc_id), 1, 8))::BIGINT AS h FROM documents)
