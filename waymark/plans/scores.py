@@ -346,10 +346,13 @@ def bootstrap_interval(t):
     return means.agg(q(0.025).alias("low"), q(0.5).alias("middle"), q(0.975).alias("high"), F.count("*").alias("draws"))
 
 
-@query(f"""WITH {STEPS}, v AS (SELECT user_id, line, min(t) AS t, sum(value) - 40 AS score, count(*) FILTER (dua IS NOT NULL) >= 3 AS heard, max(CASE WHEN seg = line THEN 1 ELSE 0 END) = 1 AS shown FROM s GROUP BY user_id, line),
+VERDICTS = f"""{STEPS}, v AS (SELECT user_id, line, min(t) AS t, sum(value) - 40 AS score, count(*) FILTER (dua IS NOT NULL) >= 3 AS heard, max(CASE WHEN seg = line THEN 1 ELSE 0 END) = 1 AS shown FROM s GROUP BY user_id, line),
 g AS (SELECT *, sum(heard::INT) OVER w AS h, count(*) OVER w AS n FROM v WINDOW w AS (PARTITION BY user_id ORDER BY t, line ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
-d AS (SELECT *, CASE WHEN score >= 4 THEN 'read' WHEN score <= CASE WHEN shown THEN -20 ELSE -4 END THEN 'omitted' ELSE 'unsure' END AS raw FROM g)
-SELECT user_id, line, raw, CASE WHEN raw = 'omitted' AND h < 0.6 * n THEN 'gated' ELSE raw END AS verdict FROM d""")
+d AS (SELECT *, CASE WHEN score >= 4 THEN 'read' WHEN score <= CASE WHEN shown THEN -20 ELSE -4 END THEN 'omitted' ELSE 'unsure' END AS raw FROM g),
+x AS (SELECT user_id, line, raw, CASE WHEN raw = 'omitted' AND h < 0.6 * n THEN 'gated' ELSE raw END AS verdict FROM d)"""
+
+
+@query(f"WITH {VERDICTS} SELECT * FROM x")
 def practice_verdicts(t):
     """A line counts as read from +4, as omitted from -4 (-20 if it was shown); an omission stands only if 60 % of the last four lines were heard."""
     lines = steps(t).groupBy("user_id", "line").agg(F.min("t").alias("t"), (F.sum("value") - 40).alias("score"), (F.count_if(F.col("dua").isNotNull()) >= 3).alias("heard"), F.max(F.coalesce(F.col("seg") == F.col("line"), F.lit(False))).alias("shown"))
@@ -359,6 +362,48 @@ def practice_verdicts(t):
     return rows.select("user_id", "line", "raw", F.when((F.col("raw") == "omitted") & (F.col("share") < 0.6), "gated").otherwise(F.col("raw")).alias("verdict"))
 
 
+@query(f"""WITH {VERDICTS}, c AS (SELECT user_id % 5 AS lane, count(*) FILTER (line % 7 = 0) AS skipped, count(*) FILTER (line % 7 = 0 AND verdict = 'omitted') AS caught, count(*) FILTER (line % 7 <> 0 AND verdict = 'omitted') AS false_marks, count(*) AS lines FROM x GROUP BY user_id % 5)
+SELECT lane, skipped, caught, false_marks, round(caught / greatest(skipped, 1), 6) AS caught_share, round(600.0 * false_marks / lines, 6) AS false_per_600 FROM c""")
+def practice_metrics(t):
+    """Of the lines that were skipped (here: every seventh), how many the verdicts catch, and how many marks fall on lines that were read, per 600 lines."""
+    skipped, marked = F.col("line") % 7 == 0, F.col("verdict") == "omitted"
+    sums = practice_verdicts(t).groupBy((F.col("user_id") % 5).alias("lane")).agg(F.count_if(skipped).alias("skipped"), F.count_if(skipped & marked).alias("caught"), F.count_if(~skipped & marked).alias("false_marks"), F.count("*").alias("lines"))
+    return sums.select("lane", "skipped", "caught", "false_marks", F.round(F.col("caught") / F.greatest(F.col("skipped"), F.lit(1)), 6).alias("caught_share"), F.round(600.0 * F.col("false_marks") / F.col("lines"), 6).alias("false_per_600"))
+
+
+@query(f"""WITH {STEPS}, n AS (SELECT user_id, i, count(*) OVER (PARTITION BY user_id) AS n FROM s), p AS (SELECT user_id, i, row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '/' || i)) AS r FROM n WHERE i + 10 <= n),
+h AS (SELECT user_id, i, unnest([3, 5, 10]) AS horizon FROM p WHERE r <= 5) SELECT horizon, count(*) AS starts, count(*) FILTER (s.dua = 'own') AS found, round(count(*) FILTER (s.dua = 'own') / count(*), 6) AS share FROM h JOIN s ON s.user_id = h.user_id AND s.i = h.i + horizon - 1 GROUP BY horizon""")
+def identification_horizons(t):
+    """Listening from five moments of each recording, picked by hash: is the right text shown after 3, 5 and 10 steps?"""
+    rows = steps(t)
+    picked = rows.withColumn("n", F.count("*").over(Window.partitionBy("user_id"))).filter("i + 10 <= n")
+    order = F.md5(F.concat_ws("/", F.col("user_id").cast("string"), F.col("i").cast("string")).cast("binary"))
+    starts = temporal.top_k(picked, KEYS, [order], 5, "_r").select("user_id", F.col("i").alias("_i"), F.explode(F.array(F.lit(3), F.lit(5), F.lit(10))).alias("horizon"))
+    seen = starts.withColumn("i", (F.col("_i") + F.col("horizon") - 1).cast("int")).join(rows.select("user_id", "i", "dua"), ["user_id", "i"])
+    return seen.groupBy("horizon").agg(F.count("*").alias("starts"), F.count_if(own()).alias("found"), F.round(F.count_if(own()) / F.count("*"), 6).alias("share"))
+
+
+@query(f"""WITH {STEPS}, q AS (SELECT user_id, i, value AS quiet, sum((value < 5)::INT) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS paused, (floor((i + 1 + 1.2) / 1.5) - 1)::BIGINT AS k FROM s)
+SELECT q.user_id, q.i::INT AS i, quiet, paused, s.value AS live FROM q LEFT JOIN s ON s.user_id = q.user_id AND s.i = q.k WHERE (q.i + 1) % 3 = 0""")
+def quiet_series(t):
+    """Every third window with its quiet, the pauses since the window before it, and the live value that is held when its result is shown (1.2 later, at a step of 1.5); null beyond the series."""
+    rows = steps(t)
+    paused = F.count_if(F.col("value") < 5).over(by_time().rowsBetween(-2, 0))
+    used = rows.select("user_id", "i", F.col("value").alias("quiet"), paused.alias("paused")).filter("(i + 1) % 3 = 0").withColumn("_k", (F.floor((F.col("i") + 1 + 1.2) / 1.5) - 1).cast("int"))
+    live = rows.select(F.col("user_id").alias("_u"), F.col("i").alias("_i"), F.col("value").alias("live"))
+    return used.join(live, (F.col("user_id") == F.col("_u")) & (F.col("_k") == F.col("_i")), "left").select("user_id", "i", "quiet", "paused", "live")
+
+
+@query(f"""WITH {E}, f AS (SELECT user_id, t // {72 * HOUR} AS span, event_type AS transcript, round(avg(value), 6) AS fit FROM e GROUP BY ALL), b AS (SELECT *, min(fit) OVER (PARTITION BY user_id, span) AS best FROM f)
+SELECT user_id, span, arg_min(transcript, (fit, transcript)) AS chosen, string_agg(transcript, '+' ORDER BY transcript) FILTER (fit <= 1.2 * best) AS gates FROM b GROUP BY user_id, span""")
+def transcript_choice(t):
+    """Of several transcripts of one span the one that fits best, and all that fit nearly as well, joined by a plus."""
+    fits = events(t).groupBy("user_id", F.expr(f"t div {72 * HOUR}").alias("span"), F.col("event_type").alias("transcript")).agg(F.round(F.avg("value"), 6).alias("fit"))
+    near = fits.withColumn("_best", F.min("fit").over(Window.partitionBy("user_id", "span")))
+    gates = F.array_join(F.array_sort(F.collect_list(F.when(F.col("fit") <= 1.2 * F.col("_best"), F.col("transcript")))), "+")
+    return near.groupBy("user_id", "span").agg(F.min_by("transcript", F.struct("fit", "transcript")).alias("chosen"), gates.alias("gates"))
+
+
 @query(f"""WITH {E}, q AS (SELECT user_id, event_id, t, last_value(CASE WHEN value >= 10 THEN t END IGNORE NULLS) OVER {W} AS snd FROM e) SELECT event_id, CASE WHEN snd IS NULL THEN NULL ELSE t - snd END AS quiet FROM q""")
 def quiet_time(t):
     """Since when there was no sound (a value of ten or more), at each event; null before the first."""
