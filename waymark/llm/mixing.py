@@ -46,7 +46,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float =
     # what is left for this source and all that cap later, if all before it are at their caps
     rows = rows.withColumn("_left", F.col("_budget") - F.coalesce(F.sum("_cap").over(before), F.lit(0)))
     rows = rows.withColumn("_weights", F.sum("weight").over(total) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    rows = rows.withColumn("_full", F.col("_cap") * F.col("_weights") <= F.col("_left") * F.col("weight"))
+    wide = [F.col(c).cast("decimal(38,0)") for c in ("_cap", "_weights", "_left", "weight")]  # 10^13 words times the weights of many sources pass 2^63
+    rows = rows.withColumn("_full", wide[0] * wide[1] <= wide[2] * wide[3])
     rows = rows.withColumn("_rank", F.row_number().over(by_level))
     level = rows.filter(~F.col("_full")).orderBy("_rank").limit(1).select(F.col("_left").alias("_l"), F.col("_weights").alias("_w"))
     rows = rows.join(level, how="left")
