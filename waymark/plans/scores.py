@@ -13,7 +13,7 @@ KEYS, ORDER = ["user_id"], ["t", "event_id"]
 W = "(PARTITION BY user_id ORDER BY t, event_id)"
 #: A display beside the truth: every fourth event starts a line; what is shown is missing, of another text, or some lines off now and then.
 STEPS = f"""{E}, st AS (SELECT *, row_number() OVER {W} - 1 AS i FROM e),
-s AS (SELECT user_id, event_id, event_type, t, value, i, i // 4 AS line, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'other' ELSE 'own' END AS dua,
+s AS (SELECT user_id, event_id, event_type, t, value, i, i // 4 AS line, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'other' ELSE 'own' END AS piece,
  CASE WHEN event_id % 11 <> 0 THEN i // 4 + CASE WHEN event_id % 5 = 0 THEN event_id % 7 - 3 ELSE 0 END END AS seg FROM st)"""
 
 
@@ -25,22 +25,22 @@ def steps(t):
     rows = events(t).withColumn("i", F.row_number().over(by_time()) - 1).withColumn("line", F.expr("cast(i div 4 as bigint)"))
     k = F.col("event_id")
     shown = k % 11 != 0
-    rows = rows.withColumn("dua", F.when(shown, F.when(k % 13 == 0, "other").otherwise("own")))
+    rows = rows.withColumn("piece", F.when(shown, F.when(k % 13 == 0, "other").otherwise("own")))
     return rows.withColumn("seg", F.when(shown, F.col("line") + F.when(k % 5 == 0, k % 7 - 3).otherwise(0)))
 
 
-def own(column="dua"):
+def own(column="piece"):
     return F.coalesce(F.col(column) == "own", F.lit(False))
 
 
-@query(f"""WITH {STEPS}, p AS (SELECT *, last_value(dua IGNORE NULLS) OVER b AS pd, last_value(seg IGNORE NULLS) OVER b AS ps FROM s WINDOW b AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT user_id, count(*) AS steps, count(*) FILTER (dua = 'own' AND seg = line) AS line, count(*) FILTER (dua = 'own' AND abs(seg - line) <= 1) AS line_pm1, count(*) FILTER (dua = 'own') AS text_ok,
- count(*) FILTER (dua <> 'own') AS wrong_text, count(*) FILTER (line % 3 = 0) AS refrain_steps, count(*) FILTER (line % 3 = 0 AND dua = 'own' AND seg = line) AS refrain_line,
- count(*) FILTER (pd = dua AND seg - ps NOT IN (0, 1)) AS jumps FROM p GROUP BY user_id""")
+@query(f"""WITH {STEPS}, p AS (SELECT *, last_value(piece IGNORE NULLS) OVER b AS pd, last_value(seg IGNORE NULLS) OVER b AS ps FROM s WINDOW b AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, count(*) AS steps, count(*) FILTER (piece = 'own' AND seg = line) AS line, count(*) FILTER (piece = 'own' AND abs(seg - line) <= 1) AS line_pm1, count(*) FILTER (piece = 'own') AS text_ok,
+ count(*) FILTER (piece <> 'own') AS wrong_text, count(*) FILTER (line % 3 = 0) AS refrain_steps, count(*) FILTER (line % 3 = 0 AND piece = 'own' AND seg = line) AS refrain_line,
+ count(*) FILTER (pd = piece AND seg - ps NOT IN (0, 1)) AS jumps FROM p GROUP BY user_id""")
 def line_following(t):
     """Per listener: steps, line right, within one line, text right, wrong text (nothing shown is never wrong), refrain lines, jumps against the last thing shown."""
     before = by_time().rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("dua").isNotNull(), F.struct("dua", "seg")), ignorenulls=True).over(before)
+    last = F.last(F.when(F.col("piece").isNotNull(), F.struct("piece", "seg")), ignorenulls=True).over(before)
     rows = steps(t).withColumn("prev", last)
     right = own() & (F.col("seg") == F.col("line"))
     refrain, step = F.col("line") % 3 == 0, F.col("seg") - F.col("prev.seg")
@@ -49,16 +49,16 @@ def line_following(t):
         F.count_if(right).alias("line"),
         F.count_if(own() & (F.abs(F.col("seg") - F.col("line")) <= 1)).alias("line_pm1"),
         F.count_if(own()).alias("text_ok"),
-        F.count_if(F.col("dua") != "own").alias("wrong_text"),
+        F.count_if(F.col("piece") != "own").alias("wrong_text"),
         F.count_if(refrain).alias("refrain_steps"),
         F.count_if(refrain & right).alias("refrain_line"),
-        F.count_if((F.col("prev.dua") == F.col("dua")) & ~step.isin(0, 1)).alias("jumps"),
+        F.count_if((F.col("prev.piece") == F.col("piece")) & ~step.isin(0, 1)).alias("jumps"),
     )
 
 
 LAGS = f"""{STEPS}, b AS (SELECT user_id, line, min(t) AS s0 FROM s GROUP BY user_id, line), z AS (SELECT user_id, max(t) AS z FROM s GROUP BY user_id),
 n AS (SELECT b.user_id, line, s0, coalesce(lead(s0) OVER (PARTITION BY b.user_id ORDER BY line), z) AS s1 FROM b JOIN z ON b.user_id = z.user_id),
-lags AS (SELECT n.user_id, n.line, min(s.t) - any_value(s0) AS lag FROM n LEFT JOIN s ON s.user_id = n.user_id AND s.dua = 'own' AND s.seg = n.line AND s.t >= s0 AND s.t <= s1 + {2 * HOUR} WHERE s1 - s0 >= {2 * HOUR} GROUP BY n.user_id, n.line)"""
+lags AS (SELECT n.user_id, n.line, min(s.t) - any_value(s0) AS lag FROM n LEFT JOIN s ON s.user_id = n.user_id AND s.piece = 'own' AND s.seg = n.line AND s.t >= s0 AND s.t <= s1 + {2 * HOUR} WHERE s1 - s0 >= {2 * HOUR} GROUP BY n.user_id, n.line)"""
 
 
 def entry_lags(t):
@@ -79,19 +79,19 @@ def line_entry_lags(t):
     return entry_lags(t)
 
 
-@query(f"""WITH {LAGS}, a AS (SELECT user_id % 5 AS lane, count(*) AS steps, count(*) FILTER (dua = 'own' AND seg = line) AS hit, count(*) FILTER (dua <> 'own') AS wrong FROM s GROUP BY user_id % 5),
+@query(f"""WITH {LAGS}, a AS (SELECT user_id % 5 AS lane, count(*) AS steps, count(*) FILTER (piece = 'own' AND seg = line) AS hit, count(*) FILTER (piece <> 'own') AS wrong FROM s GROUP BY user_id % 5),
 l AS (SELECT user_id % 5 AS lane, count(*) AS boundaries, count(*) FILTER (lag IS NULL) AS missed, quantile_cont(lag, 0.5) AS median_lag FROM lags GROUP BY user_id % 5)
 SELECT a.lane, round(hit / steps, 6) AS line_acc, round(wrong / steps, 6) AS wrong_shown, round(missed / greatest(boundaries, 1), 6) AS lines_missed, round(median_lag, 3) AS median_lag FROM a JOIN l ON a.lane = l.lane""")
 def rollup_rates(t):
     """Micro-averages by lane: sums before any division; lags pooled over all items for their median."""
     lane = (F.col("user_id") % 5).alias("lane")
-    sums = steps(t).groupBy(lane).agg(F.count("*").alias("n"), F.count_if(own() & (F.col("seg") == F.col("line"))).alias("hit"), F.count_if(F.col("dua") != "own").alias("wrong"))
+    sums = steps(t).groupBy(lane).agg(F.count("*").alias("n"), F.count_if(own() & (F.col("seg") == F.col("line"))).alias("hit"), F.count_if(F.col("piece") != "own").alias("wrong"))
     lags = entry_lags(t).groupBy(lane).agg(F.count("*").alias("b"), F.count_if(F.col("lag").isNull()).alias("m"), F.round(F.percentile("lag", 0.5), 3).alias("median_lag"))
     rate = lambda a, b: F.round(F.col(a) / b, 6)
     return sums.join(lags, "lane").select("lane", rate("hit", F.col("n")).alias("line_acc"), rate("wrong", F.col("n")).alias("wrong_shown"), rate("m", F.greatest(F.col("b"), F.lit(1))).alias("lines_missed"), "median_lag")
 
 
-@query(f"""WITH {STEPS}, d AS (SELECT user_id, t, event_id, CASE WHEN dua IS NOT NULL THEN dua || '#' || seg END AS d, CASE WHEN event_id % 17 <> 0 THEN 'own#' || line END AS tl FROM s),
+@query(f"""WITH {STEPS}, d AS (SELECT user_id, t, event_id, CASE WHEN piece IS NOT NULL THEN piece || '#' || seg END AS d, CASE WHEN event_id % 17 <> 0 THEN 'own#' || line END AS tl FROM s),
 w AS (SELECT *, lag(d) OVER {W} AS pd, lag(d = tl) OVER {W} AS pok, lag(event_id) OVER {W} AS pe,
  coalesce(list(tl) FILTER (tl IS NOT NULL) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 30 PRECEDING AND 10 FOLLOWING), []) AS near FROM d),
 m AS (SELECT *, coalesce(tl, near[1]) AS ref FROM w WHERE pe IS NOT NULL AND d IS NOT NULL AND d IS DISTINCT FROM pd AND NOT list_contains(near, d)),
@@ -101,7 +101,7 @@ def display_moves(t):
     """Moves away from the reader: a jump (from where the reader is or just was to two lines or more away, or to another text), early (to the neighbouring line
     first), far (away while already lost). Where the reader is or just was: any true place from 30 ticks before to 10 after."""
     k = F.col("event_id")
-    rows = steps(t).select(*KEYS, *ORDER, F.concat_ws("#", "dua", "seg").alias("d"), F.col("dua").isNotNull().alias("_some"), F.when(k % 17 != 0, F.concat(F.lit("own#"), F.col("line"))).alias("tl"))
+    rows = steps(t).select(*KEYS, *ORDER, F.concat_ws("#", "piece", "seg").alias("d"), F.col("piece").isNotNull().alias("_some"), F.when(k % 17 != 0, F.concat(F.lit("own#"), F.col("line"))).alias("tl"))
     rows = rows.withColumn("d", F.when(F.col("_some"), F.col("d")))
     w = by_time()
     rows = rows.withColumn("pd", F.lag("d").over(w)).withColumn("pok", F.lag(F.col("d") == F.col("tl")).over(w)).withColumn("pe", F.lag("event_id").over(w)).withColumn("near", F.collect_list("tl").over(w.rowsBetween(-30, 10)))
@@ -112,12 +112,12 @@ def display_moves(t):
     return moved.groupBy("user_id").agg(F.count_if(was_ok & far).alias("jump"), F.count_if(was_ok & ~far).alias("early"), F.count_if(~was_ok & far).alias("far"))
 
 
-VISIBLE = f"""{STEPS}, r AS (SELECT *, event_type = 'purchase' AS tap, CASE WHEN event_type = 'purchase' THEN 'own' ELSE dua END AS vd, CASE WHEN event_type = 'purchase' THEN line ELSE seg END AS vs FROM s),
+VISIBLE = f"""{STEPS}, r AS (SELECT *, event_type = 'purchase' AS tap, CASE WHEN event_type = 'purchase' THEN 'own' ELSE piece END AS vd, CASE WHEN event_type = 'purchase' THEN line ELSE seg END AS vs FROM s),
 v AS (SELECT *, last_value(vd IGNORE NULLS) OVER {W} AS d, last_value(vs IGNORE NULLS) OVER {W} AS l FROM r),
 h AS (SELECT *, CASE WHEN d = 'own' THEN l END AS sl FROM v WHERE NOT tap), f AS (SELECT *, lag(sl) OVER {W} AS p, lead(sl) OVER {W} AS n FROM h WHERE sl IS NOT NULL)"""
 
 
-@query(f"""WITH {VISIBLE}, a AS (SELECT user_id, count(*) AS hops, count(*) FILTER (dua IS NULL AND d IS NOT NULL) AS held FROM h GROUP BY user_id),
+@query(f"""WITH {VISIBLE}, a AS (SELECT user_id, count(*) AS hops, count(*) FILTER (piece IS NULL AND d IS NOT NULL) AS held FROM h GROUP BY user_id),
 b AS (SELECT user_id, count(*) FILTER (sl < p) AS back, count(*) FILTER (p = n AND sl <> p) AS flicker FROM f GROUP BY user_id),
 c AS (SELECT v.user_id, v.event_id, max(CASE WHEN h.sl <> v.line THEN 1 ELSE 0 END) AS undone FROM v LEFT JOIN h ON h.user_id = v.user_id AND h.t > v.t AND h.t <= v.t + {2 * HOUR + HOUR // 2} WHERE v.tap GROUP BY v.user_id, v.event_id),
 u AS (SELECT user_id, count(*) AS taps, sum(undone)::BIGINT AS undone FROM c GROUP BY user_id)
@@ -126,10 +126,10 @@ def display_stability(t):
     """What stays visible through lapses (held), goes back, flickers (A B A), and taps that something else overrides within two and a half hours."""
     tap = F.col("event_type") == "purchase"
     rows = steps(t).withColumn("tap", tap)
-    seen = F.when(tap, F.struct(F.lit("own").alias("d"), F.col("line").alias("l"))).when(F.col("dua").isNotNull(), F.struct(F.col("dua").alias("d"), F.col("seg").alias("l")))
+    seen = F.when(tap, F.struct(F.lit("own").alias("d"), F.col("line").alias("l"))).when(F.col("piece").isNotNull(), F.struct(F.col("piece").alias("d"), F.col("seg").alias("l")))
     rows = rows.withColumn("v", F.last(seen, ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     hops = rows.filter(~F.col("tap")).withColumn("sl", F.when(F.col("v.d") == "own", F.col("v.l")))
-    held = hops.groupBy("user_id").agg(F.count("*").alias("hops"), F.count_if(F.col("dua").isNull() & F.col("v").isNotNull()).alias("held"))
+    held = hops.groupBy("user_id").agg(F.count("*").alias("hops"), F.count_if(F.col("piece").isNull() & F.col("v").isNotNull()).alias("held"))
     lines = hops.filter("sl is not null").select("user_id", "sl", F.lag("sl").over(by_time()).alias("p"), F.lead("sl").over(by_time()).alias("n"))
     turns = lines.groupBy("user_id").agg(F.count_if(F.col("sl") < F.col("p")).alias("back"), F.count_if((F.col("p") == F.col("n")) & (F.col("sl") != F.col("p"))).alias("flicker"))
     taps = rows.filter("tap").select("user_id", F.col("event_id").alias("_tap"), F.col("line").alias("_line"), (F.col("t") + 1).alias("a"), (F.col("t") + 2 * HOUR + HOUR // 2 + 1).alias("b"))
@@ -215,13 +215,13 @@ def stop_scores(t):
 
 
 @query(f"""WITH {STEPS}, sp AS (SELECT user_id, t AS a, t + {6 * HOUR} AS b FROM s WHERE event_type = 'purchase'),
-x AS (SELECT DISTINCT s.event_id, s.user_id, s.dua, s.seg, s.line FROM s JOIN sp ON s.user_id = sp.user_id AND s.t >= a AND s.t < b + {HOUR})
-SELECT user_id, count(*) AS ticks, count(*) FILTER (dua = 'own' AND seg = line) AS line FROM x GROUP BY user_id""")
+x AS (SELECT DISTINCT s.event_id, s.user_id, s.piece, s.seg, s.line FROM s JOIN sp ON s.user_id = sp.user_id AND s.t >= a AND s.t < b + {HOUR})
+SELECT user_id, count(*) AS ticks, count(*) FILTER (piece = 'own' AND seg = line) AS line FROM x GROUP BY user_id""")
 def reciting_only(t):
     """Lines scored only inside spans of speech, each an hour longer than it was heard; a tick in two spans counts once."""
     rows = steps(t)
     spans = rows.filter("event_type = 'purchase'").select("user_id", F.col("t").alias("a"), (F.col("t") + 7 * HOUR).alias("b"))
-    inside = temporal.interval_join(rows.select("user_id", "t", "event_id", "dua", "seg", "line"), spans, KEYS, "t", "a", "b", 7 * HOUR).dropDuplicates(["event_id"])
+    inside = temporal.interval_join(rows.select("user_id", "t", "event_id", "piece", "seg", "line"), spans, KEYS, "t", "a", "b", 7 * HOUR).dropDuplicates(["event_id"])
     return inside.groupBy("user_id").agg(F.count("*").alias("ticks"), F.count_if(own() & (F.col("seg") == F.col("line"))).alias("line"))
 
 
@@ -236,7 +236,7 @@ def logged_words_seen(t):
 
 
 @query(f"""WITH {STEPS}, g AS (SELECT *, list(line) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS before, lead(line, 3) OVER {W} AS soon FROM s)
-SELECT user_id, count(*) AS ticks, count(*) FILTER (dua = 'own' AND (list_contains(before, seg) OR seg = soon)) AS ok FROM g GROUP BY user_id""")
+SELECT user_id, count(*) AS ticks, count(*) FILTER (piece = 'own' AND (list_contains(before, seg) OR seg = soon)) AS ok FROM g GROUP BY user_id""")
 def grace_score(t):
     """A shown line is right if it was true in the ten ticks before, is now, or will be in three."""
     w = by_time()
@@ -245,7 +245,7 @@ def grace_score(t):
     return rows.groupBy("user_id").agg(F.count("*").alias("ticks"), F.count_if(ok).alias("ok"))
 
 
-@query(f"""WITH {STEPS}, f AS (SELECT user_id, min(t) AS t0, min(t) FILTER (dua = 'own' AND seg = line AND i >= 2) AS f FROM s GROUP BY user_id)
+@query(f"""WITH {STEPS}, f AS (SELECT user_id, min(t) AS t0, min(t) FILTER (piece = 'own' AND seg = line AND i >= 2) AS f FROM s GROUP BY user_id)
 SELECT user_id, coalesce(round((f - t0) / {HOUR}, 6), 60.0) AS found_h FROM f""")
 def found_first(t):
     """Hours from the first tick to the first right one after the second; 60 if never found."""
@@ -253,14 +253,14 @@ def found_first(t):
     return steps(t).groupBy("user_id").agg(F.min("t").alias("a"), found.alias("f")).select("user_id", F.coalesce(F.round((F.col("f") - F.col("a")) / HOUR, 6), F.lit(60.0)).alias("found_h"))
 
 
-@query(f"""WITH {STEPS}, m AS (SELECT *, dua = 'own' AND value >= 5 AS ok FROM s), x AS (SELECT *, coalesce(ok, false) AS good FROM m),
+@query(f"""WITH {STEPS}, m AS (SELECT *, piece = 'own' AND value >= 5 AS ok FROM s), x AS (SELECT *, coalesce(ok, false) AS good FROM m),
 n AS (SELECT *, max(CASE WHEN NOT good THEN t END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lapse, seg // 8 AS text FROM x),
 g AS (SELECT *, lag(t) OVER {W} AS pt, lag(text) OVER {W} AS ptext FROM n WHERE good),
 r AS (SELECT *, sum(CASE WHEN pt IS NULL OR ptext <> text OR lapse - pt > {24 * HOUR} THEN 1 ELSE 0 END) OVER {W} AS run FROM g)
 SELECT user_id, run::BIGINT AS run, any_value(text) AS text, min(t) AS first, max(t) AS last, round(avg(value), 6) AS confidence FROM r GROUP BY user_id, run HAVING max(t) - min(t) >= {6 * HOUR}""")
 def locked_spans(t):
     """Runs with one text shown confidently. A lapse of up to a day is bridged if the same text comes back; another text ends the run at once."""
-    good = F.coalesce((F.col("dua") == "own") & (F.col("value") >= 5), F.lit(False))
+    good = F.coalesce((F.col("piece") == "own") & (F.col("value") >= 5), F.lit(False))
     w = by_time()
     rows = steps(t).withColumn("good", good).withColumn("text", F.expr("seg div 8"))
     rows = rows.withColumn("lapse", F.max(F.when(~F.col("good"), F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, -1))).filter("good")
@@ -331,7 +331,7 @@ def label_agreement(t):
     return both.groupBy("user_id").agg(F.round(F.count_if(F.col("la") == F.col("lb")) / F.count("*"), 6).alias("agreement"))
 
 
-@query(f"""WITH {STEPS}, g AS (SELECT user_id % 40 AS reciter, count(*) AS n, count(*) FILTER (dua = 'own' AND seg = line) AS hit FROM s GROUP BY user_id % 40), k AS (SELECT *, row_number() OVER (ORDER BY reciter) - 1 AS r, count(*) OVER () AS groups FROM g),
+@query(f"""WITH {STEPS}, g AS (SELECT user_id % 40 AS reciter, count(*) AS n, count(*) FILTER (piece = 'own' AND seg = line) AS hit FROM s GROUP BY user_id % 40), k AS (SELECT *, row_number() OVER (ORDER BY reciter) - 1 AS r, count(*) OVER () AS groups FROM g),
 d AS (SELECT b, ('0x' || substr(md5(b || '/' || j), 1, 8))::BIGINT % groups AS r FROM (SELECT DISTINCT groups FROM k), range(200) AS x(b), range(40) AS y(j) WHERE j < groups),
 m AS (SELECT b, sum(hit) / sum(n) AS v FROM d JOIN k ON d.r = k.r GROUP BY b) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.5), 6) AS middle, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS draws FROM m""")
 def bootstrap_interval(t):
@@ -346,7 +346,7 @@ def bootstrap_interval(t):
     return means.agg(q(0.025).alias("low"), q(0.5).alias("middle"), q(0.975).alias("high"), F.count("*").alias("draws"))
 
 
-VERDICTS = f"""{STEPS}, v AS (SELECT user_id, line, min(t) AS t, sum(value) - 40 AS score, count(*) FILTER (dua IS NOT NULL) >= 3 AS heard, max(CASE WHEN seg = line THEN 1 ELSE 0 END) = 1 AS shown FROM s GROUP BY user_id, line),
+VERDICTS = f"""{STEPS}, v AS (SELECT user_id, line, min(t) AS t, sum(value) - 40 AS score, count(*) FILTER (piece IS NOT NULL) >= 3 AS heard, max(CASE WHEN seg = line THEN 1 ELSE 0 END) = 1 AS shown FROM s GROUP BY user_id, line),
 g AS (SELECT *, sum(heard::INT) OVER w AS h, count(*) OVER w AS n FROM v WINDOW w AS (PARTITION BY user_id ORDER BY t, line ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
 d AS (SELECT *, CASE WHEN score >= 4 THEN 'read' WHEN score <= CASE WHEN shown THEN -20 ELSE -4 END THEN 'omitted' ELSE 'unsure' END AS raw FROM g),
 x AS (SELECT user_id, line, raw, CASE WHEN raw = 'omitted' AND h < 0.6 * n THEN 'gated' ELSE raw END AS verdict FROM d)"""
@@ -355,7 +355,7 @@ x AS (SELECT user_id, line, raw, CASE WHEN raw = 'omitted' AND h < 0.6 * n THEN
 @query(f"WITH {VERDICTS} SELECT * FROM x")
 def practice_verdicts(t):
     """A line counts as read from +4, as omitted from -4 (-20 if it was shown); an omission stands only if 60 % of the last four lines were heard."""
-    lines = steps(t).groupBy("user_id", "line").agg(F.min("t").alias("t"), (F.sum("value") - 40).alias("score"), (F.count_if(F.col("dua").isNotNull()) >= 3).alias("heard"), F.max(F.coalesce(F.col("seg") == F.col("line"), F.lit(False))).alias("shown"))
+    lines = steps(t).groupBy("user_id", "line").agg(F.min("t").alias("t"), (F.sum("value") - 40).alias("score"), (F.count_if(F.col("piece").isNotNull()) >= 3).alias("heard"), F.max(F.coalesce(F.col("seg") == F.col("line"), F.lit(False))).alias("shown"))
     w = temporal.window_of(KEYS, ["t", "line"]).rowsBetween(-3, 0)
     raw = F.when(F.col("score") >= 4, "read").when(F.col("score") <= F.when(F.col("shown"), -20).otherwise(-4), "omitted").otherwise("unsure")
     rows = lines.withColumn("raw", raw).withColumn("share", F.avg(F.col("heard").cast("int")).over(w))
@@ -372,14 +372,14 @@ def practice_metrics(t):
 
 
 @query(f"""WITH {STEPS}, n AS (SELECT user_id, i, count(*) OVER (PARTITION BY user_id) AS n FROM s), p AS (SELECT user_id, i, row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '/' || i)) AS r FROM n WHERE i + 10 <= n),
-h AS (SELECT user_id, i, unnest([3, 5, 10]) AS horizon FROM p WHERE r <= 5) SELECT horizon, count(*) AS starts, count(*) FILTER (s.dua = 'own') AS found, round(count(*) FILTER (s.dua = 'own') / count(*), 6) AS share FROM h JOIN s ON s.user_id = h.user_id AND s.i = h.i + horizon - 1 GROUP BY horizon""")
+h AS (SELECT user_id, i, unnest([3, 5, 10]) AS horizon FROM p WHERE r <= 5) SELECT horizon, count(*) AS starts, count(*) FILTER (s.piece = 'own') AS found, round(count(*) FILTER (s.piece = 'own') / count(*), 6) AS share FROM h JOIN s ON s.user_id = h.user_id AND s.i = h.i + horizon - 1 GROUP BY horizon""")
 def identification_horizons(t):
     """Listening from five moments of each recording, picked by hash: is the right text shown after 3, 5 and 10 steps?"""
     rows = steps(t)
     picked = rows.withColumn("n", F.count("*").over(Window.partitionBy("user_id"))).filter("i + 10 <= n")
     order = F.md5(F.concat_ws("/", F.col("user_id").cast("string"), F.col("i").cast("string")).cast("binary"))
     starts = temporal.top_k(picked, KEYS, [order], 5, "_r").select("user_id", F.col("i").alias("_i"), F.explode(F.array(F.lit(3), F.lit(5), F.lit(10))).alias("horizon"))
-    seen = starts.withColumn("i", (F.col("_i") + F.col("horizon") - 1).cast("int")).join(rows.select("user_id", "i", "dua"), ["user_id", "i"])
+    seen = starts.withColumn("i", (F.col("_i") + F.col("horizon") - 1).cast("int")).join(rows.select("user_id", "i", "piece"), ["user_id", "i"])
     return seen.groupBy("horizon").agg(F.count("*").alias("starts"), F.count_if(own()).alias("found"), F.round(F.count_if(own()) / F.count("*"), 6).alias("share"))
 
 
@@ -431,12 +431,12 @@ def room_replay(t):
     return temporal.asof_join(joins, sent, ["room"], "t", ["_e", "host", "shown"]).select("viewer", "host", "shown")
 
 
-@query(f"""WITH {STEPS}, a AS (SELECT event_type AS scenario, count(*) AS ticks, count(*) FILTER (dua = 'own' AND seg = line) AS hit, count(*) FILTER (dua <> 'own') AS wrong, count(*) FILTER (value >= 60) AS reading, count(*) FILTER (value >= 60 AND seg = line) AS reading_hit FROM s GROUP BY event_type)
+@query(f"""WITH {STEPS}, a AS (SELECT event_type AS scenario, count(*) AS ticks, count(*) FILTER (piece = 'own' AND seg = line) AS hit, count(*) FILTER (piece <> 'own') AS wrong, count(*) FILTER (value >= 60) AS reading, count(*) FILTER (value >= 60 AND seg = line) AS reading_hit FROM s GROUP BY event_type)
 SELECT scenario, ticks, round(hit / ticks, 6) AS on_line, round(wrong * 600.0 / ticks, 6) AS wrong_per_600, CASE WHEN reading > 0 THEN round(reading_hit / reading, 6) END AS reading_share FROM a""")
 def scenario_rates(t):
     """Rates per 600 ticks and shares by scenario; a share of nothing is null, not a failure."""
     right = F.col("seg") == F.col("line")
-    sums = steps(t).groupBy(F.col("event_type").alias("scenario")).agg(F.count("*").alias("ticks"), F.count_if(own() & right).alias("hit"), F.count_if(F.col("dua") != "own").alias("wrong"), F.count_if(F.col("value") >= 60).alias("r"), F.count_if((F.col("value") >= 60) & right).alias("rh"))
+    sums = steps(t).groupBy(F.col("event_type").alias("scenario")).agg(F.count("*").alias("ticks"), F.count_if(own() & right).alias("hit"), F.count_if(F.col("piece") != "own").alias("wrong"), F.count_if(F.col("value") >= 60).alias("r"), F.count_if((F.col("value") >= 60) & right).alias("rh"))
     return sums.select("scenario", "ticks", F.round(F.col("hit") / F.col("ticks"), 6).alias("on_line"), F.round(F.col("wrong") * 600.0 / F.col("ticks"), 6).alias("wrong_per_600"), F.when(F.col("r") > 0, F.round(F.col("rh") / F.col("r"), 6)).alias("reading_share"))
 
 
